@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quayside.llm import repetition
+from quayside.llm import repetition, simhash
 
 QUERIES = {
     "op3_quality_rules": repetition.op3_quality_rules,
+    "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
 }
 
 SQL = {
