@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quayside.llm import repetition, simhash
+from quayside.llm import language, repetition, simhash
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op3_quality_rules": repetition.op3_quality_rules,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
 }
