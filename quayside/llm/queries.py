@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quayside.llm import language, repetition, simhash
+from quayside.llm import language, mixing, repetition, simhash
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op3_quality_rules": repetition.op3_quality_rules,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
 }
 
 SQL = {
+    "op4_mix_sources": mixing.OP4_SQL,
     "op3_quality_rules": repetition.OP3_SQL,
 }
