@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quayside.llm import language, mixing, repetition, simhash
+from quayside.llm import language, mixing, quality, repetition, simhash
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_quality_crf": quality.op2_quality_crf,
     "op3_quality_rules": repetition.op3_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
