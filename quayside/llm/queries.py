@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quayside.llm import language, mixing, pieces, quality, repetition, simhash, toxicity
+from quayside.llm import language, mixing, pieces, quality, repetition, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_quality_crf": quality.op2_quality_crf,
     "op3_quality_rules": repetition.op3_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_top_k": topk.op6_top_k,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL = {
     "op4_mix_sources": mixing.OP4_SQL,
+    "op6_top_k": topk.OP6_SQL,
     "op3_quality_rules": repetition.OP3_SQL,
 }
