@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayside.llm import language, mixing, pieces, quality, repetition, simhash, topk, toxicity
+from quayside.llm import html, language, mixing, pieces, quality, repetition, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": repetition.op3_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_top_k": topk.op6_top_k,
+    "op7_html_main_text": html.op7_html_main_text,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
