@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quayside.llm import html, language, mixing, pieces, quality, repetition, simhash, topk, toxicity
+from quayside.llm import crossentropy, html, language, mixing, pieces, quality, repetition, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_quality_crf": quality.op2_quality_crf,
     "op3_quality_rules": repetition.op3_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_cross_entropy": crossentropy.op5_cross_entropy,
     "op6_top_k": topk.op6_top_k,
     "op7_html_main_text": html.op7_html_main_text,
     "op8_simhash_near_dup": simhash.op8_simhash_near_dup,
