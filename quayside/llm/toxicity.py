@@ -81,38 +81,40 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def doses(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def doses(doc: np.ndarray, column: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Occurrences of marker words in each document."""
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    kinds, inverse = np.unique(feature, return_inverse=True)
-    in1 = np.bincount(inverse, weights=toxic[doc], minlength=len(kinds))
-    in0 = np.bincount(inverse, weights=~toxic[doc], minlength=len(kinds))
+    in1 = np.bincount(column[toxic[doc]], minlength=column.max(initial=-1) + 1)
+    in0 = np.bincount(column, minlength=len(in1)) - in1
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     marker = (odds >= MARKER_ODDS) & (in1 >= MIN_DOCS)
-    return np.bincount(doc, weights=np.where(marker[inverse], count, 0), minlength=len(toxic))
+    return np.bincount(doc, weights=np.where(marker[column], count, 0), minlength=len(toxic))
 
 
-def grades_of(doc, feature, count, toxic: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
-    dose = doses(doc, feature, count, toxic)
+def grades_of(doc, column, count, toxic: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
+    dose = doses(doc, column, count, toxic)
     if not toxic.any():
         return np.zeros(len(toxic), np.int64)
     cuts = np.quantile(dose[toxic], np.arange(1, n_grades - 1) / (n_grades - 1), method="lower")
     return np.where(toxic, 1 + (dose[:, None] > cuts[None, :]).sum(axis=1), 0)
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, rounds: int = 250, l2: float = 0.5) -> Ordinal:
-    """Penalised maximum likelihood by Adam; gaps between thresholds stay positive as exponentials."""
+def fit(doc: np.ndarray, column: np.ndarray, kinds: np.ndarray, grade: np.ndarray, rounds: int = 250, l2: float = 0.5) -> Ordinal:
+    """Penalised maximum likelihood by Adam; gaps between thresholds stay positive as exponentials.
+
+    Document doc[i] holds the feature kinds[column[i]].
+    """
     top = int(grade.max()) if len(grade) else 0
-    kinds, inverse, df = np.unique(feature, return_inverse=True, return_counts=True)
+    df = np.bincount(column, minlength=len(kinds))
     toxic = grade > 0
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    in1 = np.bincount(inverse, weights=toxic[doc], minlength=len(kinds))
+    in1 = np.bincount(column[toxic[doc]], minlength=len(kinds))
     share = df / (n1 + n0)
     apart = in1 / n1 - (df - in1) / n0
     used = (df >= MIN_DOCS) & (np.abs(apart) >= MIN_Z * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
     place = np.cumsum(used) - 1
-    on = used[inverse]
-    doc, column, features = doc[on], place[inverse[on]], kinds[used]
+    on = used[column]
+    doc, column, features = doc[on], place[column[on]], kinds[used]
     if top == 0 or not len(features):
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.full(max(top, 1), 30.0))
     n, f = len(grade), len(features)
@@ -177,13 +179,15 @@ def train(
     )
     rows.sort(key=lambda r: (r["grade"], bytes(r["words"])))
     words = [np.frombuffer(r["words"], np.int32) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(w) for w in words]).astype(np.int64)
-    feature = np.concatenate([np.zeros(0, np.int64), *words]).astype(np.int64)
-    count = np.concatenate([np.zeros(0), *[np.frombuffer(r["counts"], np.int32) for r in rows]])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in words])
+    kinds = np.unique(np.concatenate([np.zeros(0, np.int32), *words]))
+    column = np.concatenate([np.zeros(0, np.int32), *[np.searchsorted(kinds, w).astype(np.int32) for w in words]])
+    count = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["counts"], np.int32) for r in rows]])
     grade = np.array([r["grade"] for r in rows], np.int64)
+    del rows, words
     if not graded and len(grade):
-        grade = grades_of(doc, feature, count, grade > 0)
-    return fit(doc, feature, grade)
+        grade = grades_of(doc, column, count, grade > 0)
+    return fit(doc, column, kinds, grade)
 
 
 def toxicity(
