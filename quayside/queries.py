@@ -122,11 +122,9 @@ SELECT count(*) AS raw_body_rows, count(o_orderdate) AS counted_orders, count(*)
 def text_ingest_reconciliation(spark, sf_dir):
     typed = star(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     path = shared_path(spark, "orders-csv")
-    typed.write.option("header", False).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
-    raw = spark.read.text(path)
-    return profile.reconcile_daily_counts(raw, profile.daily_counts_from_text(spark, path), typed, "o_orderdate").withColumn(
-        "raw_body_rows", F.col("raw_body_rows")
-    )
+    typed.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    raw = spark.read.text(path).filter(~F.col("value").startswith("o_orderkey,"))  # every part file has the header
+    return profile.reconcile_daily_counts(raw, profile.daily_counts_from_text(spark, path), typed, "o_orderdate")
 
 
 @query(f"""
@@ -629,9 +627,9 @@ def _network(spark, sf_dir):
     return cut(graph.network_scores(graph.vertices(rows), edge, cut(graph.shared_customer_motifs(edge)), cut(_cat(spark, sf_dir)), rounds=ROUNDS))
 
 
-@query(f"WITH {NETWORK} SELECT * REPLACE ({', '.join(f'{r(c, 5)} AS {c}' for c in SCORES)}) FROM network")
+@query(f"WITH {NETWORK} SELECT * REPLACE ({', '.join(f'{r(c, 8)} AS {c}' for c in SCORES)}) FROM network")
 def network_scores(spark, sf_dir):
-    return _network(spark, sf_dir).withColumns({c: rounded(F.col(c), 5) for c in SCORES})
+    return _network(spark, sf_dir).withColumns({c: rounded(F.col(c), 8) for c in SCORES})
 
 
 SIGNALS = ["n_cocustomer_partners", "two_hop_reach_count", "n_category_substitutes"]
@@ -692,9 +690,9 @@ index_of AS MATERIALIZED (
 INDEX_DOUBLES = ("risk_score", "demand_norm", "sentiment_norm", "network_norm", "contagion_norm", "supply_norm", "avg_delay_days", "avg_sentiment_score", "pagerank_score", "substitutability_deficit", "supply_concentration_risk")
 
 
-@query(f"WITH {INDEX} SELECT {', '.join(f'{r(c, 5)} AS {c}' if c in INDEX_DOUBLES else c for c in risk.INDEX_COLUMNS)} FROM index_of")
+@query(f"WITH {INDEX} SELECT {', '.join(f'{r(c, 8)} AS {c}' if c in INDEX_DOUBLES else c for c in risk.INDEX_COLUMNS)} FROM index_of")
 def risk_index(spark, sf_dir):
-    return _index(spark, sf_dir).withColumns({c: rounded(F.col(c), 5) for c in INDEX_DOUBLES})
+    return _index(spark, sf_dir).withColumns({c: rounded(F.col(c), 8) for c in INDEX_DOUBLES})
 
 
 @query(f"WITH {INDEX} SELECT risk_class, count(*) AS n_sellers FROM index_of GROUP BY 1")
@@ -702,9 +700,9 @@ def risk_band_counts(spark, sf_dir):
     return risk.risk_band_counts(_index(spark, sf_dir))
 
 
-@query(f"WITH {INDEX} SELECT seller_state, {r('avg(risk_score)', 5)} AS mean_risk, count(*) AS n_sellers FROM index_of WHERE seller_state IS NOT NULL GROUP BY 1")
+@query(f"WITH {INDEX} SELECT seller_state, {r('avg(risk_score)', 8)} AS mean_risk, count(*) AS n_sellers FROM index_of WHERE seller_state IS NOT NULL GROUP BY 1")
 def state_mean_risk(spark, sf_dir):
-    return risk.state_mean_risk(_index(spark, sf_dir)).withColumn("mean_risk", rounded(F.col("mean_risk"), 5))
+    return risk.state_mean_risk(_index(spark, sf_dir)).withColumn("mean_risk", rounded(F.col("mean_risk"), 8))
 
 
 @query(f"WITH {INDEX} SELECT {', '.join(f'{r(f"corr(risk_score, {c})", 5)} AS corr_{c}' for c in risk.WEIGHTS)} FROM index_of")
@@ -713,9 +711,9 @@ def risk_component_correlations(spark, sf_dir):
     return out.select(*[rounded(F.col(c), 5).alias(c) for c in out.columns])
 
 
-@query(f"WITH {INDEX} SELECT seller_id, {r('risk_score', 5)} AS risk_score FROM index_of ORDER BY index_of.risk_score DESC, seller_id LIMIT 50")
+@query(f"WITH {INDEX} SELECT seller_id, {r('risk_score', 8)} AS risk_score FROM index_of ORDER BY index_of.risk_score DESC, seller_id LIMIT 50")
 def top_for_quadrant(spark, sf_dir):
-    return risk.top_for_quadrant(_index(spark, sf_dir)).select("seller_id", rounded(F.col("risk_score"), 5).alias("risk_score"))
+    return risk.top_for_quadrant(_index(spark, sf_dir)).select("seller_id", rounded(F.col("risk_score"), 8).alias("risk_score"))
 
 
 @query()
