@@ -119,7 +119,7 @@ def daily_counts_from_text(spark: SparkSession, path: str, column: int = 3) -> D
 def reconcile_daily_counts(raw_lines: DataFrame, parsed: DataFrame, typed: DataFrame, ts: str) -> DataFrame:
     """One row: raw body rows, counted and typed orders, their difference, malformed rows, days on which the two disagree.
 
-    Rows of `typed` without a time count in its total and never meet a day of `parsed`.
+    Rows of `typed` without a time count in its total and are a day of their own that never meets one of `parsed`.
     """
     by_day = typed.groupBy(F.to_date(ts).alias("purchase_date")).agg(F.count("*").alias("typed_count"))
     both = parsed.join(by_day, "purchase_date", "full_outer").select(
