@@ -39,7 +39,10 @@ def r(expression: str, digits: int = 6) -> str:
     return f"floor(({expression}) * 1e{digits} + 0.5e0) / 1e{digits}"
 
 
-DELIVERED = F.col("order_status") != "P"
+def delivered():
+    return F.col("order_status") != "P"
+
+
 WEEK = "CAST(year({0}) AS VARCHAR) || '-' || lpad(CAST(week({0}) AS VARCHAR), 2, '0')"
 LINES = f"""lines AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, l_suppkey AS seller_id, n_name AS seller_state, l_partkey AS product_id,
@@ -54,7 +57,7 @@ LINES = f"""lines AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = roles(spark, sf_dir)
-    return demand.order_lines(t["orders"], t["order_items"], t["sellers"], t["products"], DELIVERED, "delivered_date", "order_purchase_timestamp")
+    return demand.order_lines(t["orders"], t["order_items"], t["sellers"], t["products"], delivered(), "delivered_date", "order_purchase_timestamp")
 
 
 # --- profiling -------------------------------------------------------------------
@@ -106,7 +109,7 @@ SELECT stage, n_input, n_kept, n_input - n_kept AS n_dropped, reason FROM s
 """)
 def cleaning_audit(spark, sf_dir):
     t = roles(spark, sf_dir)
-    return profile.cleaning_audit(t["orders"], t["order_reviews"], star(spark, sf_dir, "customer"), DELIVERED, zip_col="c_nationkey")
+    return profile.cleaning_audit(t["orders"], t["order_reviews"], star(spark, sf_dir, "customer"), delivered(), zip_col="c_nationkey")
 
 
 @query(f"SELECT c_nationkey AS zip, {r('avg(c_acctbal)', 4)} AS lat, {r('avg(c_custkey)', 4)} AS lng, min(c_mktsegment) AS state FROM customer GROUP BY 1")
