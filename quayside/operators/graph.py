@@ -184,6 +184,15 @@ def bfs_backups(edge: DataFrame, seeds: DataFrame, vertex: DataFrame, max_hops:
     return seeds.join(found, "seed", "left").select(F.col("seed").alias("seller_id"), F.col("best.id").alias("backup_seller_id"), F.col("best.hop").alias("hop_count"))
 
 
+def hop_distribution(backups: DataFrame) -> DataFrame:
+    """(hops, n): seeds by the distance of their backup."""
+    return backups.groupBy(F.coalesce(F.col("hop_count").cast("string"), F.lit("none")).alias("hops")).agg(F.count("*").alias("n"))
+
+
+def largest_communities(members: DataFrame, n: int = 10) -> DataFrame:
+    return members.groupBy("community").agg(F.max("community_size").alias("community_size")).orderBy(F.desc("community_size"), "community").limit(n)
+
+
 def delayed_edges(edge: DataFrame, days: float = 5.0) -> DataFrame:
     return edge.filter(F.col("avg_delay") > days)
 

@@ -83,10 +83,11 @@ def quantiles(df: DataFrame, col: str, probabilities: list[float], relative_erro
     return list(df.selectExpr(f"array({named}) AS q").first()["q"])
 
 
-def winsorize(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99, relative_error: float = 0.01) -> tuple[DataFrame, float, float]:
-    """(df with `col` clipped to its quantiles as double, lower bound, upper bound); nulls stay."""
+def winsorize(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99, relative_error: float = 0.01) -> tuple[DataFrame, float, float, int]:
+    """(df with `col` clipped to its quantiles as double, lower bound, upper bound, how many were outside); nulls stay."""
     lo, hi = map(float, quantiles(df.select(col), col, [low, high], relative_error))
-    return df.withColumn(col, clipped(F.col(col), F.lit(lo), F.lit(hi))), lo, hi
+    n = df.filter((F.col(col) < lo) | (F.col(col) > hi)).count()
+    return df.withColumn(col, clipped(F.col(col), F.lit(lo), F.lit(hi))), lo, hi, n
 
 
 def clipped(x: Column, lo: Column, hi: Column) -> Column:

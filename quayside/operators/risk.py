@@ -87,6 +87,13 @@ def component_correlations(index: DataFrame) -> DataFrame:
     return index.agg(*[safe_corr(F.col("risk_score"), F.col(c)).alias(f"corr_{c}") for c in WEIGHTS])
 
 
+def coverage(index: DataFrame, sellers: DataFrame) -> DataFrame:
+    """(n_sellers, n_scored, n_missing): sellers that the index's inner joins lose."""
+    both = sellers.select("seller_id").distinct().join(index.select("seller_id", F.lit(1).alias("scored")), "seller_id", "left")
+    counted = both.agg(F.count("*").alias("n_sellers"), F.count("scored").alias("n_scored"))
+    return counted.withColumn("n_missing", F.col("n_sellers") - F.col("n_scored"))
+
+
 def top_for_quadrant(index: DataFrame, n: int = 50) -> DataFrame:
     return index.orderBy(F.desc("risk_score"), "seller_id").limit(n)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.columns import decay_weights, rounded
-from quayside.operators import demand, forecast, graph, profile, risk, sentiment, text
+from quayside.operators import charts, demand, forecast, graph, profile, risk, sentiment, text
 from quayside.plans.lineage import cut, shared_path
 from quayside.sources import tables
 from quayside.sources.tables import STAR, STAR_KEYS, roles, star
@@ -138,7 +138,7 @@ FROM lines, q GROUP BY seller_state, lo, hi
 """)
 def winsorized_delay(spark, sf_dir):
     rows = lines(spark, sf_dir).select("seller_state", "delay_days", F.col("delay_days").alias("raw"))
-    clipped, lo, hi = profile.winsorize(rows, "delay_days", relative_error=0.0)
+    clipped, lo, hi, _ = profile.winsorize(rows, "delay_days", relative_error=0.0)
     cut_off = F.count(F.when(F.col("raw") != F.col("delay_days"), 1))
     return clipped.groupBy("seller_state").agg(
         F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), cut_off.alias("n_clipped"), F.count("*").alias("n_lines"), rounded(F.avg("delay_days"), 6).alias("mean_delay")
@@ -597,17 +597,30 @@ def pagerank_catregion(spark, sf_dir):
     return _ranked(graph.pagerank(_cat(spark, sf_dir), rounds=ROUNDS))
 
 
-@query(f"""
+BFS = f"""
 WITH {EDGES}, seeds AS (SELECT dst AS id FROM edges WHERE edge_type = 'purchase' GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 10),
 near AS (SELECT s.id AS seller_id, min(f.src) AS backup_seller_id FROM seeds s JOIN edges e ON e.src = s.id JOIN edges f ON f.dst = e.dst AND f.src <> s.id GROUP BY 1)
 SELECT s.id AS seller_id, n.backup_seller_id, CAST(CASE WHEN n.backup_seller_id IS NOT NULL THEN 2 END AS INTEGER) AS hop_count FROM seeds s LEFT JOIN near n ON n.seller_id = s.id
-""")
+"""
+
+
+@query(BFS)
 def bfs_backups(spark, sf_dir):
     edge, vertex = cut(_edges(spark, sf_dir)), graph.vertices(graph_lines(spark, sf_dir))
     seeds = graph.degree_stats(vertex, edge).orderBy(F.desc("in_degree_purchase_only"), "id").limit(10)
     return graph.bfs_backups(edge, seeds, vertex)
 
 
+@query(f"SELECT coalesce(CAST(hop_count AS VARCHAR), 'none') AS hops, count(*) AS n FROM ({BFS}) GROUP BY 1")
+def hop_distribution(spark, sf_dir):
+    return graph.hop_distribution(bfs_backups(spark, sf_dir))
+
+
+@query(f"WITH {CELLS}, {propagation_sql('cat', 'q')} SELECT community, count(*) AS community_size FROM q5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def largest_communities(spark, sf_dir):
+    return graph.largest_communities(catregion_communities(spark, sf_dir))
+
+
 NETWORK = f"""{EDGES}, {BACKUPS}, {TWO_HOP}, {CELLS}, {CAT_BACKUPS}, late AS MATERIALIZED (SELECT src, dst FROM edges WHERE avg_delay > 5),
 {pagerank_sql('edges', 'p')}, {pagerank_sql('late', 'd')}, {pagerank_sql('shared', 'h')}, {pagerank_sql('cat', 'x')}, {propagation_sql('shared', 'q')}, {propagation_sql('cat', 'y')},
 degree AS (SELECT dst AS id, count(*) AS n FROM edges WHERE edge_type = 'purchase' GROUP BY 1),
@@ -714,6 +727,12 @@ def risk_component_correlations(spark, sf_dir):
     return out.select(*[rounded(F.col(c), 5).alias(c) for c in out.columns])
 
 
+@query(f"WITH {INDEX} SELECT (SELECT count(*) FROM supplier) AS n_sellers, count(*) AS n_scored, (SELECT count(*) FROM supplier) - count(*) AS n_missing FROM index_of")
+def risk_coverage(spark, sf_dir):
+    sellers = roles(spark, sf_dir)["sellers"].select(F.col("seller_id").cast("string").alias("seller_id"))
+    return risk.coverage(_index(spark, sf_dir), sellers)
+
+
 @query(f"WITH {INDEX} SELECT seller_id, {r('risk_score', 8)} AS risk_score FROM index_of ORDER BY index_of.risk_score DESC, seller_id LIMIT 50")
 def top_for_quadrant(spark, sf_dir):
     return risk.top_for_quadrant(_index(spark, sf_dir)).select("seller_id", rounded(F.col("risk_score"), 8).alias("risk_score"))
@@ -743,6 +762,26 @@ def exact_percentile(spark, sf_dir):
     return risk.exact_percentile(rows, "v", "share").select("seller_id", rounded(F.col("share"), 6).alias("share"))
 
 
+# --- chart frames ------------------------------------------------------------------
+
+
+@query(f"WITH {REVIEWS} SELECT label, count(*) AS n, {r('count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS share FROM (SELECT CAST(review_score >= 4 AS INTEGER) AS label FROM reviews WHERE review_score <> 3) GROUP BY 1")
+def chart_class_balance(spark, sf_dir):
+    return charts.class_balance(sentiment.label_reviews(reviews(spark, sf_dir))).withColumn("share", rounded(F.col("share"), 6))
+
+
+@query(f"WITH {LINES} SELECT seller_state, {r('avg(delay_days)')} AS mean_delay_days, count(*) AS n FROM lines GROUP BY 1 ORDER BY avg(delay_days) DESC, seller_state LIMIT 30")
+def chart_state_bar(spark, sf_dir):
+    return charts.state_bar(lines(spark, sf_dir), "seller_state", "delay_days").withColumn("mean_delay_days", rounded(F.col("mean_delay_days"), 6))
+
+
+@query(f"WITH {LINES} SELECT seller_state, {', '.join(f'count(*) FILTER (year_week LIKE {chr(39)}{y}-%{chr(39)}) AS y{y}' for y in (1996, 1997))} FROM lines WHERE year_week LIKE '1996-%' OR year_week LIKE '1997-%' GROUP BY 1")
+def chart_heatmap(spark, sf_dir):
+    year = F.concat(F.lit("y"), F.substring("year_week", 1, 4))
+    counts = lines(spark, sf_dir).withColumn("y", year).filter(F.col("y").isin("y1996", "y1997")).groupBy("seller_state", "y").agg(F.count("*").alias("n"))
+    return charts.heatmap(counts, "seller_state", "y", "n", ["y1996", "y1997"]).fillna(0)
+
+
 # --- text models, batch inference and streams --------------------------------------
 
 

@@ -26,8 +26,8 @@ def test_year_week_at_year_edges(spark):
 
 def test_winsorize_keeps_nulls(spark):
     df = spark.range(100).select(F.col("id").cast("int").alias("x")).union(spark.createDataFrame([(None,)], "x int"))
-    out, lo, hi = profile.winsorize(df, "x", relative_error=0.0)
-    assert (lo, hi) == (0.0, 98.0)
+    out, lo, hi, n = profile.winsorize(df, "x", relative_error=0.0)
+    assert (lo, hi, n) == (0.0, 98.0, 1)
     assert out.filter("x IS NULL").count() == 1 and out.agg(F.max("x")).first()[0] == 98.0
 
 
@@ -239,3 +239,28 @@ def test_stream_extensions_are_streams(spark):
     assert rows(w.windowed_counts(events, "ts", "k", size="4 hours"), "n") == [(1,), (2,)]
     assert w.windowed_counts(events, "ts", "k", size="2 hours", slide="1 hour").agg(F.sum("n")).first()[0] == 6
     assert rows(w.session_counts(events, "ts", "k", "90 minutes"), "n") == [(1,), (2,)]
+
+
+def test_sql_queries_and_reports(spark):
+    lines = spark.createDataFrame([("a", "SP", 1.0, 2, "2017-01"), ("b", "RJ", 3.0, -1, "2017-02")], "seller_id string, seller_state string, price double, delay_days int, year_week string")
+    found = demand.sql_queries(lines)
+    assert set(found) == {"top_sellers", "weekly_preview", "late_rate"} and all("SELECT" in sql and df.count() == 2 for sql, df in found.values())
+    bfs = spark.createDataFrame([("a", "b", 2), ("c", None, None)], "seller_id string, backup_seller_id string, hop_count int")
+    assert rows(graph.hop_distribution(bfs), "hops", "n") == [("2", 1), ("none", 1)]
+    members = spark.createDataFrame([("a", "x", 2), ("b", "x", 2), ("c", "y", 1)], "id string, community string, community_size long")
+    assert rows(graph.largest_communities(members, 1)) == [("x", 2)]
+    scored, every = spark.createDataFrame([("a",)], "seller_id string"), spark.createDataFrame([("a",), ("b",)], "seller_id string")
+    assert rows(risk.coverage(scored, every)) == [(2, 1, 1)]
+
+
+def test_entry_needs_no_session_and_no_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "quayside", tmp_path / "quayside", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert 'risk_index' in e.queries() and set(e.oracle_sql()) <= set(e.queries()); assert not any(n.startswith('op') and n[2].isdigit() for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True, timeout=120)
