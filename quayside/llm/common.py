@@ -7,7 +7,6 @@ operations, so Python never loops over words.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.plans.lineage import cut  # noqa: F401  the operators take it from here
+
 #: Bytes of text that one block holds at most, unless one document is longer.
 BLOCK_BYTES = 3 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
@@ -33,22 +34,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the folder that the cluster names; a lost executor then costs no recomputation.
-
-    Only where none is named, on a local master, a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not named or not named.strip():
-            named = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 def id_hash(col: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo `modulus`; null for a null id."""
     return F.crc32(F.col(col).cast("string")) % modulus

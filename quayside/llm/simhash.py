@@ -33,6 +33,8 @@ MAX_BITS = 3
 BLOCKS = 5
 PIVOTS = 32
 TILE = 8192
+#: A fingerprint with over this share of the rows is joined from a broadcast of at most HOT_SHARE rows.
+HOT_SHARE = 1000
 
 _PIVOTS = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
 
@@ -220,17 +222,19 @@ def near_duplicates(
     rows.  Other columns are not read.
     """
     prints = cut(with_fingerprint(df, id_col, text_col, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     label = components(near_links(distinct.select("fp"), max_bits))
     tied = distinct.join(label, "fp")
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     of_tied = tied.select("fp", "root").join(least, "root").select("fp", "component_id")
-    of_all = distinct.join(of_tied.withColumnRenamed("component_id", "joined"), "fp", "left").select(
-        "fp", F.coalesce("joined", "least").alias("component_id")
-    )
-    return prints.join(of_all, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    of_all = cut(
+        distinct.join(of_tied.withColumnRenamed("component_id", "joined"), "fp", "left").select(
+            "fp", F.coalesce("joined", "least").alias("component_id"), "rows"
+        )
     )
+    hot = F.broadcast(of_all.filter(F.col("rows") * HOT_SHARE > prints.count()).drop("rows"))  # under HOT_SHARE rows
+    joined = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(of_all.drop("rows"), "fp"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
