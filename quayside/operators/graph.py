@@ -44,7 +44,7 @@ def degree_stats(vertex: DataFrame, edge: DataFrame) -> DataFrame:
     return sellers.join(by, "id", "left").select("id", F.coalesce("total", F.lit(0)).alias("in_degree_total"), F.coalesce("purchases", F.lit(0)).alias("in_degree_purchase_only"))
 
 
-def pagerank(edge: DataFrame, vertex: DataFrame | None = None, rounds: int = 10, reset: float = 0.15, cut_every: int = 3) -> DataFrame:
+def pagerank(edge: DataFrame, vertex: DataFrame | None = None, rounds: int = 10, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
     """(id, pagerank), unweighted, starting from 1 each; a vertex without incoming edges ends at `reset`.
 
     A round is a join by source and a sum by destination, which combines on the
