@@ -119,13 +119,13 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best inner products of each query, both sides (vec_id, v) of integers.
 
     Ties go to the smaller id.  With `exclude_own` no row with the query's id is a
-    candidate.  A repeated query row is one query; a repeated candidate row ranks
+    candidate.  Query rows of one id are one query, the smallest vector's; a repeated candidate row ranks
     as often as it comes.  Vectors of different lengths meet as if padded by
     zeros, and an empty one scores 0.  Empty tables give no rows.
     """
     spark = queries.sparkSession
     bound_batches(spark)
-    queries, candidates = cut(queries.dropDuplicates(["vec_id"])), cut(candidates)
+    queries, candidates = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v"))), cut(candidates)
     q_blocks = max(1, -(-queries.count() // query_block))
     c_blocks = max(1, -(-candidates.count() // candidate_block))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

@@ -113,7 +113,9 @@ def brute_components(ids, prints):
     return [best.get(find(i)) for i in range(len(ids))]
 
 
-def test_near_duplicates_match_brute_force(spark, docs):
+@pytest.mark.parametrize("hot_share", [1000, 12, 1])
+def test_near_duplicates_match_brute_force(spark, docs, monkeypatch, hot_share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", hot_share)  # all, some and none of the fingerprints are hot
     odd = odd_docs(spark)
     for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
         want_ids, want_prints = zip(*[(r.doc_id, brute_fingerprint(r.text)) for r in df.collect()], strict=True)
@@ -307,6 +309,8 @@ def test_search_matches_brute_force(spark):
         scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     assert got == sorted(want)
+    twice = topk.top_k(rows.filter("vec_id = 0").union(rows.filter("vec_id = 0")), rows, 5)
+    assert sorted(tuple(r) for r in twice.collect()) == [w for w in sorted(want) if w[0] == 0]
     assert topk.top_k(rows.limit(0), rows).count() == 0 and topk.top_k(rows.filter("vec_id = 0"), rows.filter("vec_id < 3"), 20).count() == 2
 
 
