@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.ranks import running_total
 from quayside.plans.lineage import cut
 
 TOP_PARTNERS = 25
@@ -234,13 +235,13 @@ def network_scores(vertex: DataFrame, edge: DataFrame, motifs: DataFrame, cat_ed
 
 
 def mean_ranks(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Average ranks of each column, ties shared, from counts of distinct values, so the sort is over those only."""
+    """Average ranks of each column, ties shared, from counts of distinct values sorted in ranges; null has none."""
     out = df.select(key, *cols)
     for c in cols:
-        counts = df.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = counts.select(F.col(c).alias(f"{c}_v"), (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
-        out = out.join(ranks, out[c].eqNullSafe(ranks[f"{c}_v"]), "left").drop(f"{c}_v")
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"{c}_v")).agg(F.count("*").alias("n"))
+        upto = running_total(counts, f"{c}_v", "n", "upto")
+        ranks = upto.select(f"{c}_v", (F.col("upto") - (F.col("n") - 1) / 2).alias(f"{c}_rank"))
+        out = out.join(ranks, out[c] == ranks[f"{c}_v"], "left").drop(f"{c}_v")
     return out
 
 

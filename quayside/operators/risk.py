@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.columns import safe_corr
 from quayside.operators.profile import quantiles
+from quayside.operators.ranks import running_total
 from quayside.plans.lineage import cut
 
 WEIGHTS = {"demand_norm": 0.35, "sentiment_norm": 0.35, "network_norm": 0.30}
@@ -38,13 +39,12 @@ def percentile_norm(df: DataFrame, col: str, out: str, buckets: int = 1000, rela
 
 
 def exact_percentile(df: DataFrame, col: str, out: str, invert: bool = False) -> DataFrame:
-    """Share of the known values that are smaller than or equal to a value, from a sort of distinct values only."""
+    """Share of the known values that are smaller than or equal to a value, from counts of distinct values sorted in ranges."""
     value = (-F.col(col) if invert else F.col(col)).cast("double")
     rows = df.withColumn("\x00x", value)
     counts = rows.filter("`\x00x` IS NOT NULL").groupBy("\x00x").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(Window.orderBy("\x00x").rowsBetween(Window.unboundedPreceding, 0))
-    shares = counts.withColumn("upto", upto).join(F.broadcast(total), F.lit(True)).select(F.col("\x00x").alias("\x00v"), (F.col("upto") / F.col("total")).alias(out))
+    shares = running_total(counts, "\x00x", "n", "upto").join(F.broadcast(total), F.lit(True)).select(F.col("\x00x").alias("\x00v"), (F.col("upto") / F.col("total")).alias(out))
     return rows.join(shares, F.col("\x00x") == F.col("\x00v"), "left").drop("\x00x", "\x00v")
 
 
@@ -54,7 +54,7 @@ def risk_index(demand: DataFrame, sentiment: DataFrame, network: DataFrame, exac
     Bands are cut at the 95th and 99th percentile of the score, strictly above.
     """
     norm = (lambda d, c, o, i=False: exact_percentile(d, c, o, i)) if exact else (lambda d, c, o, i=False: percentile_norm(d, c, o, invert=i))
-    rows = demand.join(sentiment, "seller_id").join(network, "seller_id")
+    rows = cut(demand.join(sentiment, "seller_id").join(network, "seller_id"))
     rows = norm(rows, "avg_delay_days", "demand_norm")
     rows = norm(rows, "avg_sentiment_score", "sentiment_norm", True)
     rows = norm(rows, "network_risk_score", "contagion_norm")

@@ -15,11 +15,10 @@ BOUNDED = {
     "demand.add_regional_features": "a row for each state",
     "forecast.fit_and_score": "scalars",
     "graph.connected_components": "one count",
-    "graph.mean_ranks": "distinct values only",
     "profile.quantiles": "one row of quantiles",
     "profile.daily_counts_from_text": "the header line",
+    "ranks.running_total": "a row for each range",
     "risk.percentile_norm": "one maximum",
-    "risk.exact_percentile": "distinct values only",
     "text.negative_topics": "a row for each topic",
     "weekly.prepare_stream_source": "a demonstration's rows, limited",
 }

@@ -264,3 +264,12 @@ def test_entry_needs_no_session_and_no_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'risk_index' in e.queries() and set(e.oracle_sql()) <= set(e.queries()); assert not any(n.startswith('op') and n[2].isdigit() for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True, timeout=120)
+
+
+def test_running_total_over_ranges(spark):
+    from quayside.operators.ranks import running_total
+
+    df = spark.range(500).select((F.col("id") * 7 % 500).cast("double").alias("v"), F.lit(2).alias("n"))
+    out = running_total(df, "v", "n", "upto").collect()
+    assert sorted((r.v, r.upto) for r in out) == [(float(i), 2 * i + 2) for i in range(500)]
+    assert running_total(df.limit(0), "v", "n", "upto").count() == 0
