@@ -24,6 +24,21 @@ GRAPH_QUANTITY = 48
 ROUNDS = 10
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(f: Query) -> Query:
+    """`f` made once a session and folder: many registered queries start from the same checkpointed table."""
+
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, f.__name__, sf_dir)
+        if key not in _MADE:
+            _MADE[key] = f(spark, sf_dir)
+        return _MADE[key]
+
+    return made
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -637,6 +652,7 @@ network AS MATERIALIZED (
 SCORES = ("pagerank_score", "network_risk_score", "cocustomer_centrality", "catregion_centrality", "substitutability_deficit", "supply_concentration_risk")
 
 
+@once
 def _network(spark, sf_dir):
     rows = cut(graph_lines(spark, sf_dir).select("customer_unique_id", "seller_id", "delay_days"))
     edge = cut(graph.edges(rows))
@@ -673,8 +689,9 @@ def _sentiment_leg(spark, sf_dir):
     return sentiment.seller_sentiment_scores(reviews(spark, sf_dir), _rollup(spark, sf_dir)).withColumn("seller_id", F.col("seller_id").cast("string"))
 
 
-def _index(spark, sf_dir, exact: bool = True):
-    return cut(risk.risk_index(_demand_leg(spark, sf_dir), _sentiment_leg(spark, sf_dir), _rounded_network(spark, sf_dir), exact))
+@once
+def _index(spark, sf_dir):
+    return cut(risk.risk_index(_demand_leg(spark, sf_dir), _sentiment_leg(spark, sf_dir), _rounded_network(spark, sf_dir), exact=True))
 
 
 def _rounded_network(spark, sf_dir):
