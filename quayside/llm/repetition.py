@@ -34,6 +34,8 @@ from quayside.llm.common import (
 
 #: Words of a window that counts as repeated.
 WINDOW = 8
+#: Fewest words of a repeat that keep_good() counts as covered, so that short phrases said over and over go too.
+SHORT = 3
 #: Fewest words of a document.
 MIN_WORDS = 20
 #: Percent of words in repeated windows that a document may hold.
@@ -116,14 +118,16 @@ def covered(longest: np.ndarray) -> np.ndarray:
     return reach > np.arange(n)
 
 
-def measure(block: Block) -> dict[str, np.ndarray]:
+def measure(block: Block, short: int | None = None) -> dict[str, np.ndarray]:
+    """Measures of each text of a block; with `short` also short_chars, the characters in repeats of so many words and more."""
     data, n = block.data, block.n
     starts, ends = block.words()
     doc = block.doc_of(starts)
     spans = SpanHash(data)
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
     symbols = (mix(spans.of(starts, ends) ^ salt[doc]) >> np.uint64(1)).astype(np.int64)
-    longest = longest_repeats(symbols, WINDOW)
+    every = longest_repeats(symbols, min(short or WINDOW, WINDOW))
+    longest = np.where(every >= WINDOW, every, 0)
     inside = covered(longest)
     chars = np.concatenate([[0], np.cumsum(IS_CHAR_START[data], dtype=np.int64)])
     size = chars[ends] - chars[starts]
@@ -136,7 +140,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     total = lambda x, by: np.bincount(by, weights=x, minlength=n)[:n].astype(np.int64)
     most = np.zeros(n, np.int64)
     np.maximum.at(most, doc, longest)
-    return {
+    out = {
         "n_words": count(doc),
         "word_chars": total(size, doc),
         "n_symbols": block.count(IS_SYMBOL[data]),
@@ -145,18 +149,22 @@ def measure(block: Block) -> dict[str, np.ndarray]:
         "covered_chars": total(size[inside], doc[inside]),
         "longest_repeat": most,
     }
+    if short:
+        near = covered(np.where(every >= short, every, 0))
+        out["short_chars"] = total(size[near], doc[near])
+    return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], short: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = [measure(b) for b in blocks(batch.column(text_at))]
+        parts = [measure(b, short) for b in blocks(batch.column(text_at))]
         made = {k: pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in parts[0]}
         yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*names, *made])
 
 
-def with_measures(df: DataFrame, text_col: str = "text", prefix: str = "rep_") -> DataFrame:
+def with_measures(df: DataFrame, text_col: str = "text", prefix: str = "rep_", short: int | None = None) -> DataFrame:
     """All columns of `df`, and the measures of its texts under names that begin with `prefix`."""
     bound_batches(df.sparkSession)
     names = df.columns
@@ -164,7 +172,8 @@ def with_measures(df: DataFrame, text_col: str = "text", prefix: str = "rep_") -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     at = names.index(text_col)
     flat = plain.columns
-    out = plain.mapInArrow(lambda it: _measured(it, at, flat), f"{schema}, {MEASURES}")
+    made = MEASURES + (", short_chars long" if short else "")
+    out = plain.mapInArrow(lambda it: _measured(it, at, flat, short), f"{schema}, {made}")
     return out.toDF(*names, *[prefix + c for c in out.columns[len(names) :]])
 
 
@@ -203,11 +212,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_good(df: DataFrame, text_col: str = "text", **limits: int) -> DataFrame:
-    """The rows of `df` whose text passes, with the columns that `df` has."""
+def keep_good(df: DataFrame, text_col: str = "text", short: int = SHORT, **limits: int) -> DataFrame:
+    """The rows of `df` whose text passes, with the columns that `df` has.
+
+    Stricter than `kept` of quality_rules(), whose SQL counts windows of WINDOW words:
+    repeats from `short` words on may not cover more than max_covered_percent either.
+    """
     _, kept = verdict("\x00", **limits)
-    out = with_measures(df, text_col, "\x00")
-    return out.filter(kept).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = with_measures(df, text_col, "\x00", short)
+    most = limits.get("max_covered_percent", MAX_COVERED_PERCENT)
+    fine = 100 * F.col("\x00short_chars") <= most * F.col("\x00word_chars")
+    return out.filter(kept & fine).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -83,6 +83,16 @@ def test_rules_on_odd_rows(spark):
     assert kept.columns == odd_docs(spark, []).columns and [r.doc_id for r in kept.distinct().collect()] == [len(ODD)]
 
 
+def test_short_repeats_go(spark):
+    said = " ".join(["Inerst"] * 6 + ["ble"] * 6 + ["onk"] * 6 + ["tam"] * 6)
+    once = " ".join(f"w{i}" for i in range(60)) + " w1 w2 w3"
+    kept = repetition.keep_good(odd_docs(spark, [said, once]))
+    assert {r.doc_id for r in kept.collect()} == {1}
+    block = next(iter(blocks(pa.array([said, once], pa.string()))))
+    made = repetition.measure(block, 3)
+    assert made["short_chars"].tolist() == [len(said.replace(" ", "")), 12] and made["covered_chars"].tolist() == [0, 0]
+
+
 # --- 8: near-duplicates -------------------------------------------------------------
 
 
