@@ -1,13 +1,15 @@
 """Cross-entropy difference of two language models (operator 5).
 
 A target model, of documents labelled good, and a background model, of all
-documents, are matched: the same words, orders and smoothing over one shared
-vocabulary.  The vocabulary is all words, hashed to 2**WORD_BITS numbers, so none
-is unknown; pairs of neighbours are hashed to 2**PAIR_BITS.  Every document is
-counted: each task counts into arrays and returns them in packed chunks, tasks
-add up the chunks as they come, and the sums, bounded by the bits whatever the
-input, go to all executors.  A word's probability after another mixes the pair's share, the
-word's share and a uniform one.  A document is scored by the models of all other
+documents, are matched: the same words, orders and smoothing.  Words and pairs of
+neighbours are counted one by one under 64-bit keys, so the models grow with the
+corpus.  Texts go in blocks; a block sums its own words and pairs and asks for their
+counts in the corpus: its keys are dealt to buckets, a bucket adds up what all
+blocks hold of its keys, and each block gets the sums back in the order of its
+keys.  However common a word is, it stands once in what a block asks.  No task
+holds more than a block with its sums, or a bucket.  A word's probability after
+another mixes the pair's share, the word's share and a floor, the same in both
+models.  A document is scored by the models of all other
 documents: its own counts come off those of each corpus that it is in, else any
 text would read like the corpus that has it.  Its score is the difference of its
 losses per token, background less target: high where it reads like the target.
@@ -15,26 +17,29 @@ losses per token, background less target: high where it reads like the target.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import IS_LETTER, LOWERED, SpanHash, blocks, bound_batches, mix, read_table
+from quayside.llm.common import IS_LETTER, LOWERED, Block, SpanHash, blocks, bound_batches, cut, mix, read_table, run_starts
 
+#: The floor is that of a uniform draw of one of 2**WORD_BITS words.
 WORD_BITS = 18
-PAIR_BITS = 20
-#: Counts that travel in one row.
-CHUNK = 1 << 14
 #: Shares of the pair's, the word's and the uniform probability.
 SHARES = (0.6, 0.39, 0.01)
+#: Bytes of text of a block.
+TEXT_BYTES = 6 << 20
+#: Buckets of keys: so many, and more where a bucket would sum over more tokens than BUCKET_TOKENS.
+BUCKETS = 256
+BUCKET_TOKENS = 4_000_000
 
 
-def tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word number, pair number) of every token; a document's first word follows a mark of its start.
+def spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends) of every token.
 
     Words are the runs of letters, lower-cased for a to z, and the runs of other characters but white space.
     """
@@ -45,78 +50,185 @@ def tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c, d = block.runs(~letter & ~space)
     starts, ends = np.concatenate([a, c]), np.concatenate([b, d])
     order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], ends[order]
+    return data, starts[order], ends[order]
+
+
+def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word key, pair key, whether it is its document's first word) of every token; a first word has no pair."""
+    data, starts, ends = spans(block)
     doc = block.doc_of(starts)
     h = SpanHash(data).of(starts, ends)
     before = np.zeros_like(h)
-    before[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 0)
+    before[1:] = h[:-1]
     with np.errstate(over="ignore"):
         pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    return doc, word, (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    return doc, h, pair, run_starts(doc)
+
 
+def asked(word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block in order, and where the key of each word, then of each pair, is among them."""
+    return np.unique(np.concatenate([word, pair[~first]]), return_inverse=True)
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, counts): a task's counts in both corpora, words first and then pairs, cut into chunks and packed."""
-    n = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    sums = np.zeros((2, n), np.int64)
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """Rows by blocks of about TEXT_BYTES, over the edges of batches."""
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        good = np.asarray(batch.column(1))
-        for b in blocks(batch.column(0)):
-            doc, word, pair = tokens(b)
-            mine = good[b.first : b.first + b.n][doc]
-            for keys in (word, pair + (1 << WORD_BITS)):
-                sums[0] += np.bincount(keys, minlength=n)
-                sums[1] += np.bincount(keys[mine], minlength=n)
-    chunks = [c for c in range(n // CHUNK) if sums[0, c * CHUNK : (c + 1) * CHUNK].any()]
-    packed = [zlib.compress(sums[:, c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes(), 1) for c in chunks]
-    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks added up as they come, so memory holds a sum for each chunk and no more."""
-    sums: dict[int, np.ndarray] = {}
+        if held is not None:
+            both = zip(held.columns, batch.columns, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in both], schema=batch.schema)
+        whole = list(blocks(batch.column(1), TEXT_BYTES))
+        yield from ((batch.slice(b.first, b.n), b) for b in whole[:-1])
+        held = batch.slice(whole[-1].first) if whole else held
+    if held is not None:
+        (b,) = blocks(held.column(1), max(held.nbytes, 1))
+        yield held, b
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, texts, tokens, good_tokens): blocks of texts, compressed as they are shuffled."""
+    made = TaskContext.get().partitionId() << 32
+    for rows, b in _gathered(batches):
+        doc = b.doc_of(spans(b)[1])
+        good = np.asarray(rows.column(2).cast(pa.uint8())).astype(bool)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        sums = (made, len(doc), int(good[doc].sum()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([sums[0]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *[pa.array([x], pa.int64()) for x in sums[1:]]],
+            ["block", "texts", "tokens", "good_tokens"],
+        )
+        made += 1
+
+
+def _unpacked(packed: bytes) -> tuple[pa.Array, Block, np.ndarray]:
+    """(ids, texts, whether each is good) of a block."""
+    rows = pa.ipc.open_stream(packed).read_all().combine_chunks()
+    ids, text, good = (c.chunk(0) for c in rows.columns)
+    (block,) = blocks(text, max(text.nbytes, 1))
+    return ids, block, np.asarray(good.cast(pa.uint8())).astype(bool)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed: of small numbers little is left."""
+    planes = np.ascontiguousarray(x.ravel()).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def loosened(packed: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+def _asking(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, keys, counts): a block's keys of each bucket with its counts of both corpora, first all of one."""
     for batch in batches:
-        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            made = np.frombuffer(zlib.decompress(packed), "<i8")
-            sums[chunk] = sums[chunk] + made if chunk in sums else made.copy()
-    packed = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
-
-
-class Model:
-    """Counts of words and pairs in two corpora, and their losses."""
-
-    def __init__(self, counts: np.ndarray):
-        self.words, self.pairs = counts[:, : 1 << WORD_BITS], counts[:, 1 << WORD_BITS :]
-        self.total = np.maximum(self.words.sum(axis=1), 1)
-
-    def losses(self, doc: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, good: np.ndarray) -> list[np.ndarray]:
-        """Tokens of each document, and its loss per token in nats under the background and the target model.
-
-        `good` flags the documents that the target holds.
-        """
-        size = np.bincount(doc, minlength=n)[:n]
-        before = np.zeros_like(word)
-        before[1:] = word[:-1]
-        first = np.ones(len(doc), bool)
-        first[1:] = doc[1:] != doc[:-1]
-        keys, inverse, counts = np.unique((doc << WORD_BITS) | word, return_inverse=True, return_counts=True)
-        own_word = counts[inverse]
-        own_before = np.zeros_like(own_word)
-        own_before[1:] = own_word[:-1]
-        _, inverse, counts = np.unique((doc << PAIR_BITS) | pair, return_inverse=True, return_counts=True)
-        own_pair = counts[inverse]
-        out = []
-        for k in (0, 1):
-            has = good[doc] if k else np.ones(len(doc), bool)
-            context = np.where(first, 0, self.words[k][before] - has * own_before)
-            joint = np.where(first, 0, self.pairs[k][pair] - has * own_pair)
-            share = np.minimum(joint / np.maximum(context, 1), 1.0)
-            single = (self.words[k][word] - has * own_word) / np.maximum(self.total[k] - has * size[doc], 1)
-            p = SHARES[0] * share + SHARES[1] * single + SHARES[2] / (1 << WORD_BITS)
-            out.append(np.bincount(doc, weights=-np.log(p), minlength=n)[:n] / np.maximum(size, 1))
-        return [size, *out]
+        for made, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            _, b, good = _unpacked(packed)
+            doc, word, pair, first = tokens(b)
+            keys, at = asked(word, pair, first)
+            mine = good[np.concatenate([doc, doc[~first]])]
+            counts = np.stack([np.bincount(at, minlength=len(keys)), np.bincount(at[mine], minlength=len(keys))])
+            bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)  # in order, as the keys are
+            opens = np.flatnonzero(run_starts(bucket))
+            closes = np.append(opens[1:], len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[opens], pa.int32()),
+                    pa.array(np.full(len(opens), made), pa.int64()),
+                    pa.array([squeezed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(opens, closes, strict=True)], pa.binary()),
+                    pa.array([squeezed(counts[:, i:j]) for i, j in zip(opens, closes, strict=True)], pa.binary()),
+                ],
+                ["bucket", "block", "keys", "counts"],
+            )
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bucket, counts): sums over all blocks, in the order of the keys that the block asked for.  Rows come sorted by bucket."""
+    held: list[tuple[int, bytes, bytes]] = []
+    now = None
+
+    def answer() -> pa.RecordBatch:
+        each = [np.cumsum(loosened(k, "<u8"), dtype=np.uint64) for _, k, _ in held]
+        keys = np.concatenate(each)
+        counts = np.concatenate([loosened(c, "<i8").reshape(2, -1) for *_, c in held], axis=1)
+        _, at = np.unique(keys, return_inverse=True)
+        sums = np.stack([np.bincount(at, weights=c)[at] for c in counts]).astype("<i8")
+        edges = np.cumsum([0, *map(len, each)])
+        made = [squeezed(sums[:, i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, *_ in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array(made, pa.binary())],
+            ["block", "bucket", "counts"],
+        )
+
+    for batch in batches:
+        for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bucket != now:
+                if held:
+                    yield answer()
+                held, now = [], bucket
+            held.append(tuple(row))
+    if held:
+        yield answer()
+
+
+def losses(b: Block, good: np.ndarray, counts: np.ndarray, totals: tuple[int, int]) -> list[np.ndarray]:
+    """Tokens of each text, and its loss per token in nats under the background and the target model.
+
+    `good` flags the texts that the target holds, `counts` has the two corpora's counts of the block's
+    distinct keys in order, and `totals` their tokens.
+    """
+    n = b.n
+    doc, word, pair, first = tokens(b)
+    _, at = asked(word, pair, first)
+    word_at, pair_at = at[: len(word)], np.zeros(len(word), np.int64)
+    pair_at[~first] = at[len(word) :]
+    size = np.bincount(doc, minlength=n)[:n]
+    width = np.int64(counts.shape[1] + 1)
+    own = lambda keys: np.unique(doc * width + keys, return_inverse=True, return_counts=True)[1:]
+    inverse, often = own(word_at)
+    own_word = often[inverse]
+    inverse, often = own(np.where(first, width - 1, pair_at))
+    own_pair = often[inverse]
+    before, own_before = np.zeros_like(word_at), np.zeros_like(own_word)
+    before[1:], own_before[1:] = word_at[:-1], own_word[:-1]
+    out = []
+    for k in (0, 1):
+        has = good[doc] if k else np.ones(len(doc), bool)
+        context = np.where(first, 0, counts[k][before] - has * own_before)
+        joint = np.where(first, 0, counts[k][pair_at] - has * own_pair)
+        single = (counts[k][word_at] - has * own_word) / np.maximum(totals[k] - has * size[doc], 1)
+        p = SHARES[0] * (joint / np.maximum(context, 1)) + SHARES[1] * single + SHARES[2] / (1 << WORD_BITS)
+        out.append(np.bincount(doc, weights=-np.log(p), minlength=n)[:n] / np.maximum(size, 1))
+    return [size, *out]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], totals: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block and bucket: a block's texts first, in bucket -1, and then its sums."""
+    texts: bytes | None = None
+    sums: list[np.ndarray] = []
+
+    def score() -> pa.RecordBatch:
+        ids, b, good = _unpacked(texts)
+        counts = np.concatenate(sums, axis=1) if sums else np.zeros((2, 0), np.int64)
+        size, background, target = losses(b, good, counts, totals)
+        return pa.RecordBatch.from_arrays(
+            [ids, *map(pa.array, (size.astype(np.int64), target, background, background - target))],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    for batch in batches:
+        for bucket, made in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if bucket < 0:
+                if texts is not None:
+                    yield score()
+                texts, sums = made, []
+            else:
+                sums.append(loosened(made, "<i8").reshape(2, -1))
+    if texts is not None:
+        yield score()
 
 
 def with_target(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -127,17 +239,6 @@ def with_target(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return joined.select("doc_id", "text", F.col("id").isNotNull().alias("good"))
 
 
-def train(marked: DataFrame) -> Model:
-    """Counts over all rows of with_target(); those that are good are the target."""
-    parts = marked.select("text", "good").mapInArrow(_counted, "chunk int, counts binary")
-    sums = parts.repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect()  # a row for each chunk
-    counts = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)))
-    for row in sums:
-        at = row["chunk"] * CHUNK
-        counts[:, at : at + CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(2, CHUNK)
-    return Model(counts)
-
-
 def cross_entropy_difference(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
@@ -148,24 +249,19 @@ def cross_entropy_difference(
     rows, and without target documents their model is uniform.  Other columns are
     not read.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     marked = with_target(docs, labels, id_col, text_col, label_col)
-    shared = spark.sparkContext.broadcast(train(marked))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            good = np.asarray(batch.column(2))
-            parts = [shared.value.losses(*tokens(b), b.n, good[b.first : b.first + b.n]) for b in blocks(batch.column(1))]
-            size, background, target = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (size.astype(np.int64), target, background, background - target))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return marked.mapInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    packed = cut(marked.mapInArrow(_packed, "block long, texts binary, tokens long, good_tokens long"))  # a block stays what it is
+    total = packed.agg(F.sum("tokens"), F.sum("good_tokens")).first()
+    totals = (total[0] or 0, total[1] or 0)
+    n_buckets = max(BUCKETS, totals[0] // BUCKET_TOKENS)
+    asks = packed.select("block", "texts").mapInArrow(lambda it: _asking(it, n_buckets), "bucket int, block long, keys binary, counts binary")
+    answers = asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered, "block long, bucket int, counts binary")
+    both = packed.select("block", F.lit(-1).alias("bucket"), F.col("texts").alias("counts")).unionByName(answers)
+    met = both.repartition("block").sortWithinPartitions("block", "bucket")
+    return met.mapInArrow(
+        lambda it: _scored(it, totals), "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    )
 
 
 def op5_cross_entropy(spark, sf_dir: str) -> DataFrame:

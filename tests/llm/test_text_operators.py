@@ -303,6 +303,44 @@ def test_cross_entropy_matches_counting(spark):
     assert crossentropy.cross_entropy_difference(odd_docs(spark), labels).count() == len(ODD) + 2
 
 
+def brute_losses(docs, good):
+    """Losses of every text by plain counts of words and pairs, without its own."""
+    words = {i: re.findall(r"[a-z\x80-\U0010ffff]+|[^a-z\x80-\U0010ffff\s]+", t) for i, t in docs.items()}
+    out = {}
+    for i, own in words.items():
+        for name, members in (("background", words), ("target", good)):
+            others = [words[j] for j in members if j != i]
+            single = Counter(w for o in others for w in o)
+            pairs = Counter(p for o in others for p in zip(o, o[1:], strict=False))
+            total, loss = sum(single.values()), 0.0
+            for k, w in enumerate(own):
+                joint = pairs[own[k - 1], w] / max(single[own[k - 1]], 1) if k else 0
+                loss -= math.log(0.6 * joint + 0.39 * single[w] / max(total, 1) + 0.01 / 2**18)
+            out[i, name] = loss / max(len(own), 1)
+    return out
+
+
+def test_counts_grow_with_the_words(spark):
+    """More distinct words and pairs than 2**18 and 2**20: none borrows another's counts."""
+    rng = random.Random(5)
+    few = {i: " ".join(f"{rng.choice('abcdef')} {rng.choice('ghi')}!" for _ in range(30)) for i in range(40)}
+    rare = {i: " ".join(crossword(i * 12_000 + k) for k in range(12_000)) for i in range(100, 200)}
+    docs = spark.createDataFrame(list((few | rare).items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*few, *rare]], "doc_id long, quality int")
+    out = {r.doc_id: r for r in crossentropy.cross_entropy_difference(docs, labels).collect()}
+    floor = -math.log(0.01 / 2**18)
+    assert all(out[i].n_tokens == 12_000 and out[i].background_loss == pytest.approx(floor) for i in rare)
+    alone = {r.doc_id: r for r in crossentropy.cross_entropy_difference(docs.filter("doc_id < 100"), labels).collect()}
+    want = brute_losses(few, [i for i in few if i % 2])
+    for i in few:
+        assert alone[i].background_loss == pytest.approx(want[i, "background"]) and alone[i].target_loss == pytest.approx(want[i, "target"])
+
+
+def crossword(n):
+    """A word of letters for each number."""
+    return "".join(chr(97 + n // 26**k % 26) for k in range(5)) + "q"
+
+
 # --- 6: search ----------------------------------------------------------------------
 
 
