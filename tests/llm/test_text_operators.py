@@ -386,6 +386,29 @@ def test_templates_go_and_prose_stays(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [html.BROADCAST_BYTES, -1])
+def test_templates_of_a_large_host(spark, monkeypatch, broadcast):
+    """No list knows the block, and it is on 10 of 320 pages; copies of a page count once."""
+    monkeypatch.setattr(html, "BROADCAST_BYTES", broadcast)
+    bar = lambda k: f"<div class=zz>Home of {k}</div>"
+    data = [(i, f"http://h.example/{i}", f"<body>{bar(i // 10)}<div>text {i}</div>") for i in range(320)]
+    data += [(400 + i, "http://h.example/x", f"<body>{bar('few')}<div>same</div>") for i in range(9)]
+    data += [(500, "http://g.example/", f"<body>{bar(1)}<div>text 11</div>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html.extract_main_text(df).collect()}
+    assert all(out[i] == f"text {i}" for i in range(320)) and len(out) == len(data)
+    assert out[400] == "Home of few\nsame" and out[500] == "Home of 1\ntext 11"
+
+
+def test_listed_subtrees_are_counted_too(spark):
+    data = [(i, f"http://a.example/{i}", page("m", f"text {i}")) for i in range(6)]
+    found = html.by_host(html.site_templates(spark.createDataFrame(data, "page_id long, url string, html string")))
+    assert html.removals(page("m", "text 7"), found["a.example"]) == (3, 1, 0)
+    assert html.removals(page("other", "text 7"), frozenset()) == (0, 0, 3)
+    whole = "<body><div><article><p>all of it</article></div><div>x</div>"
+    assert len(html.candidates(whole)) == 1
+
+
 def test_parser_survives_anything():
     for source in ("<", "<a", "</p></div>", "<p" * 500, "<div>" * 3000 + "x", "a < b <3 <!-- open", "<script>never closed", "<p class='x>y", "\x00<b>z"):
         html.main_text(source)
