@@ -300,7 +300,7 @@ def rolling_origin_folds(spark, sf_dir):
 
 def _forecast(spark, sf_dir):
     rows = cut(lines(spark, sf_dir).select("seller_id", "seller_state", "price", "freight_value", "product_category_name", "delay_days", "year_week"))
-    return forecast.fit_and_score(demand.weekly_volume(rows), rows, roles(spark, sf_dir)["sellers"])
+    return forecast.fit_and_score(demand.weekly_volume(rows), rows, roles(spark, sf_dir)["sellers"], light=False)
 
 
 @query()
@@ -310,7 +310,7 @@ def demand_forecast_scores(spark, sf_dir):
 
 @query()
 def regional_forecast(spark, sf_dir):
-    return forecast.fit_regional_forecast(cut(demand.weekly_volume(lines(spark, sf_dir), "seller_state")))["forecast"]
+    return forecast.fit_regional_forecast(cut(demand.weekly_volume(lines(spark, sf_dir), "seller_state")), light=False)["forecast"]
 
 
 # --- sentiment -------------------------------------------------------------------
@@ -816,7 +816,7 @@ def text_classifier_confusion(spark, sf_dir):
 @query()
 def negative_topics(spark, sf_dir):
     rows = _labelled_texts(spark, sf_dir).filter("label = 0")
-    return text.negative_topics(rows, "text", "lang", text.stopwords("english"), k=4, iterations=5, vocabulary=500, min_df=2.0)[1]
+    return text.negative_topics(rows, "text", "lang", text.stopwords("english"))[1]
 
 
 SCORER = [0.5, -0.25, 2.0]

@@ -273,3 +273,23 @@ def test_running_total_over_ranges(spark):
     out = running_total(df, "v", "n", "upto").collect()
     assert sorted((r.v, r.upto) for r in out) == [(float(i), 2 * i + 2) for i in range(500)]
     assert running_total(df.limit(0), "v", "n", "upto").count() == 0
+
+
+def test_registered_models_are_whole(spark, monkeypatch):
+    """Registered forecasts search the full grids and topics take the operator's own sizes; light is for tests."""
+    from quayside import queries
+    from quayside.operators import forecast
+
+    data, seen = "/root/testdata/sf0.001", []
+
+    def grids(light=True, parallelism=2):
+        seen.append(light)
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(forecast, "cv_estimators", grids)
+    monkeypatch.setattr(text, "negative_topics", lambda rows, of, entity, stop, **sizes: seen.append(sizes) or [None, None])
+    for name in ("demand_forecast_scores", "regional_forecast"):
+        with pytest.raises(RuntimeError, match="seen"):
+            queries.QUERIES[name](spark, data)
+    queries.QUERIES["negative_topics"](spark, data)
+    assert seen == [False, False, {}]
