@@ -7,21 +7,25 @@ operations, so Python never loops over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.plans.lineage import cut  # noqa: F401  the operators take it from here
 
 #: Bytes of text that one block holds at most, unless one document is longer.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Parts in which labelled_sample() thins a class.
+SAMPLE_PARTS = 4096
+#: Grain of the share of ids that labelled_sample() draws.
+SAMPLE_GRAIN = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +33,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too, as one batch may hold many long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    """Bound Arrow batches by bytes too, as one batch may hold many long texts; a session with tighter bounds keeps them."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4000)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def text_function(make: Callable[[pa.Array], list[pa.Array]], schema: str, text: Column) -> Column:
+    """A struct of what `make` gives for an array of texts.
+
+    Only the texts go to Python, the other columns wait in the JVM.  It counts as not
+    deterministic, so that a filter on the struct does not have it computed twice.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.StructArray.from_arrays(make(texts), names)
+
+    made.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(made, f"struct<{', '.join(f.replace(' ', ':', 1) for f in schema.split(', '))}>").asNondeterministic()(text)
 
 
 def id_hash(col: str, modulus: int) -> F.Column:
@@ -79,7 +103,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     base = int(_MULT)
@@ -90,12 +113,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+_kept_powers = lru_cache(maxsize=1)(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables that reach `n`, of lengths that are few so that the cache holds."""
-    size = 4 << 20
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """Tables that reach `n`; one for blocks is kept, longer texts make their own."""
+    return _kept_powers(2 * BLOCK_BYTES) if n <= 2 * BLOCK_BYTES else _powers(n)
 
 
 class SpanHash:
@@ -152,13 +175,19 @@ class Block:
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of every \\n-separated line; an empty text has one empty line."""
         breaks = np.flatnonzero(self.data == 10)
-        starts = np.concatenate([self.bounds[:-1], breaks + 1])
-        ends = np.concatenate([breaks, self.bounds[1:]])
-        doc = np.concatenate([np.arange(self.n), self.doc_of(breaks)])
-        a = np.lexsort((starts, doc))
-        doc_end = np.concatenate([self.doc_of(breaks), np.arange(self.n)])
-        b = np.lexsort((ends, doc_end))
-        return starts[a], ends[b], doc[a]
+        before = np.searchsorted(breaks, self.bounds)
+        counts = np.diff(before) + 1
+        first = before[:-1] + np.arange(self.n)
+        return _placed(first, self.bounds[:-1], breaks + 1), _placed(first + counts - 1, self.bounds[1:], breaks), np.repeat(np.arange(self.n), counts)
+
+
+def _placed(at: np.ndarray, these: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """`these` at the places `at`, and `rest` in order at all others."""
+    out = np.empty(len(at) + len(rest), np.int64)
+    others = np.ones(len(out), bool)
+    others[at] = False
+    out[at], out[others] = these, rest
+    return out
 
 
 def blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -186,3 +215,42 @@ def run_starts(sorted_keys: np.ndarray) -> np.ndarray:
     first = np.ones(len(sorted_keys), dtype=bool)
     first[1:] = sorted_keys[1:] != sorted_keys[:-1]
     return first
+
+
+def labelled_sample(
+    docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int, most_chars: int, seed: int
+) -> tuple[DataFrame, dict[int, float]]:
+    """(class, text) of a bounded sample, and how many labelled ids one drawn id of each class stands for.
+
+    `known` has distinct ids with a column class of few values.  Of each class about
+    `per_class` ids are drawn by a hash, and of their rows, equal ones once, so many
+    parts by a hash of the row that their texts hold at most `most_chars` characters,
+    whatever the ids' rows are; texts of over a fiftieth of that are not learned from.
+    """
+    counts = {r["class"]: r["count"] for r in known.groupBy("class").count().collect()}
+    shares = {k: min(SAMPLE_GRAIN, per_class * SAMPLE_GRAIN // n + 1) for k, n in counts.items()}
+    least = F.lit(0)
+    for k, share in shares.items():
+        least = F.when(F.col("class") == k, share).otherwise(least)
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SAMPLE_GRAIN)) < least)
+    text = F.col(f"`{text_col}`")
+    rows = (
+        docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.length(F.coalesce(text, F.lit(""))).alias("chars"))
+        .filter(F.col("chars") <= most_chars // 50)
+        .join(F.broadcast(drawn), F.col("doc") == F.col("id"))  # some per_class rows of a class
+        .withColumn("key", F.xxhash64(F.lit(seed), "id", "text"))
+        .withColumn("part", F.pmod("key", F.lit(SAMPLE_PARTS)))
+    )
+    sizes = rows.groupBy("class", "part", "key").agg(F.max("chars").alias("chars")).groupBy("class", "part").agg(F.sum("chars").alias("chars"))
+    held: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for r in sizes.orderBy("class", "part").collect():  # SAMPLE_PARTS rows of a class at most
+        held[r["class"]] = held.get(r["class"], 0) + r["chars"]
+        if held[r["class"]] <= most_chars:
+            last[r["class"]] = r["part"]
+    upto = F.lit(-1)
+    for k, part in last.items():
+        upto = F.when(F.col("class") == k, part).otherwise(upto)
+    sample = rows.filter(F.col("part") <= upto).groupBy("key", "class").agg(F.any_value("text").alias("text")).select("class", "text")
+    thinned = {k: 1.0 if held.get(k, 0) <= most_chars else SAMPLE_PARTS / (last.get(k, 0) + 1) for k in shares}
+    return sample, {k: SAMPLE_GRAIN / share * thinned[k] for k, share in shares.items()}

@@ -30,6 +30,7 @@ from quayside.llm.common import (
     mix,
     read_table,
     run_starts,
+    text_function,
 )
 
 #: Words of a window that counts as repeated.
@@ -59,7 +60,7 @@ def suffix_levels(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     keys = symbols[order]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # a rank for each doubling is kept
     first = run_starts(keys)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     levels = [rank]
@@ -69,7 +70,7 @@ def suffix_levels(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         at = order[tied]
         after = at + k
         follow = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        key = rank[at] * (n + 1) + follow + 1
+        key = rank[at].astype(np.int64) * (n + 1) + follow + 1
         by = np.argsort(key, kind="stable")
         order[tied] = at[by]
         key = key[by]
@@ -155,39 +156,29 @@ def measure(block: Block, short: int | None = None) -> dict[str, np.ndarray]:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], short: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = [measure(b, short) for b in blocks(batch.column(text_at))]
-        made = {k: pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in parts[0]}
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*names, *made])
+def measured(texts: pa.Array, short: int | None = None) -> list[pa.Array]:
+    """The measures of texts, in the order of MEASURES."""
+    parts = [measure(b, short) for b in blocks(texts)]
+    names = [f.split()[0] for f in MEASURES.split(", ")] + ["short_chars"] * bool(short)
+    return [pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]), pa.int64()) for k in names]
 
 
-def with_measures(df: DataFrame, text_col: str = "text", prefix: str = "rep_", short: int | None = None) -> DataFrame:
-    """All columns of `df`, and the measures of its texts under names that begin with `prefix`."""
+def measures(df: DataFrame, text_col: str = "text", short: int | None = None) -> F.Column:
+    """A struct of the measures of each text of `df`."""
     bound_batches(df.sparkSession)
-    names = df.columns
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    at = names.index(text_col)
-    flat = plain.columns
-    made = MEASURES + (", short_chars long" if short else "")
-    out = plain.mapInArrow(lambda it: _measured(it, at, flat, short), f"{schema}, {made}")
-    return out.toDF(*names, *[prefix + c for c in out.columns[len(names) :]])
+    return text_function(lambda texts: measured(texts, short), MEASURES + ", short_chars long" * bool(short), F.col(f"`{text_col}`"))
 
 
 def verdict(
-    prefix: str = "",
+    of: F.Column,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     max_covered_percent: int = MAX_COVERED_PERCENT,
     max_longest: int = MAX_LONGEST,
 ) -> tuple[F.Column, F.Column]:
-    """(base_failed, kept) over columns of with_measures()."""
-    c = lambda x: F.col(prefix + x)
-    failed = (c("n_words") < min_words) | (100 * c("n_repeat_words") > max_repeat_percent * c("n_words"))
-    fine = (100 * c("covered_chars") <= max_covered_percent * c("word_chars")) & (c("longest_repeat") <= max_longest)
+    """(base_failed, kept) over a struct of measures()."""
+    failed = (of["n_words"] < min_words) | (100 * of["n_repeat_words"] > max_repeat_percent * of["n_words"])
+    fine = (100 * of["covered_chars"] <= max_covered_percent * of["word_chars"]) & (of["longest_repeat"] <= max_longest)
     return failed, ~failed & fine
 
 
@@ -198,17 +189,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on its own; a null id stays null; an empty table gives no rows.  Other columns
     are not read.
     """
-    two = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    failed, kept = verdict("", **limits)
-    return (
-        with_measures(two, "text", "")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", kept)
-        .drop("text")
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "base_failed", "kept", "covered_chars", "longest_repeat",
-        )
+    of = F.col("of")
+    failed, kept = verdict(of, **limits)
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), measures(df, text_col).alias("of")).select(
+        "doc_id", *[of[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        failed.alias("base_failed"), kept.alias("kept"), of["covered_chars"].alias("covered_chars"), of["longest_repeat"].alias("longest_repeat"),
     )
 
 
@@ -217,12 +202,14 @@ def keep_good(df: DataFrame, text_col: str = "text", short: int = SHORT, **limit
 
     Stricter than `kept` of quality_rules(), whose SQL counts windows of WINDOW words:
     repeats from `short` words on may not cover more than max_covered_percent either.
+    A null or empty text goes, as it has too few words.  Equal rows stay or go together,
+    an empty table stays empty, and columns of any other names pass through.
     """
-    _, kept = verdict("\x00", **limits)
-    out = with_measures(df, text_col, "\x00", short)
+    of = F.col("\x00of")
+    _, kept = verdict(of, **limits)
     most = limits.get("max_covered_percent", MAX_COVERED_PERCENT)
-    fine = 100 * F.col("\x00short_chars") <= most * F.col("\x00word_chars")
-    return out.filter(kept & fine).select(*[F.col(f"`{c}`") for c in df.columns])
+    fine = 100 * of["short_chars"] <= most * of["word_chars"]
+    return df.withColumn("\x00of", measures(df, text_col, short)).filter(kept & fine).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

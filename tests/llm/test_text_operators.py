@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -214,30 +215,157 @@ def test_quality_of_held_out_rows(spark):
 def test_quality_on_odd_rows(spark, docs, labels):
     out = quality.quality_scores(odd_docs(spark), labels, lines=True).collect()
     assert len(out) == len(ODD) + 2 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    assert {r.doc_id: len(r.line_good) for r in out}[8] == 6
     assert quality.quality_scores(odd_docs(spark, []), labels).count() == 0
     assert {r.score for r in quality.quality_scores(odd_docs(spark), labels.limit(0)).collect()} == {1.0}
+    kept = quality.keep_good(odd_docs(spark), labels)
+    assert kept.columns == odd_docs(spark, []).columns and Counter(map(str, kept.collect())) == Counter(
+        str(r) for r in odd_docs(spark).collect() for o in out if (o.doc_id, o.predicted) == (r.doc_id, 1) and o is next(x for x in out if x.doc_id == r.doc_id)
+    )
+    assert quality.keep_good(odd_docs(spark, []), labels).count() == 0
+    assert quality.keep_good(odd_docs(spark), labels.limit(0)).count() == len(ODD) + 2
+
+
+def brute_lines(text):
+    """The features of every line in plain Python."""
+    out, seen = [], set()
+    for line in (text or "").split("\n"):
+        words = WORD.findall(line)
+        n = len(words)
+        share = lambda x, y: x / y if y else 0.0
+        among = lambda members: sum(c in members for c in line)
+        letters = sum(c.isascii() and c.isalpha() or ord(c) >= 128 for c in line)
+        solid, upper, lower = sum(map(len, words)), sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+        out.append([
+            math.log1p(n) / 5, min(n, 5) / 5, float(n == 0), math.log1p(len(line)) / 7, min(share(among("#*$%&|<>"), n), 3), min(share(among(".,;:?'\"()-"), n), 3),
+            min(share(among("!"), n), 3), min(share(solid, n), 30) / 10, share(among("0123456789"), solid), share(letters, solid), share(upper, upper + lower),
+            share(sum(len(w.encode()) <= 3 for w in words), n), share(sum(a == b for a, b in zip(words, words[1:])), n), 1 - share(len(set(words)), n), float(line in seen),
+        ])
+        seen.add(line)
+    return out
 
 
-def test_marginals_match_enumeration():
+def test_line_features_match_plain_python(docs):
+    texts = [t for t in ODD if len(t or "") < 4000] + list(texts_of(docs).values())[:40]
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=quality.N_FEATURES)
+    for b in blocks(pa.array(texts, pa.string()), 20_000):
+        columns, doc, chars = quality.own_features(b)
+        x = np.stack(list(columns), axis=1)
+        want = [brute_lines(t) for t in texts[b.first : b.first + b.n]]
+        # a line that comes again counts so from its second time on; which copy is the first does not matter to the sum
+        assert np.allclose(x[:, :-1], np.concatenate([np.array(w)[:, :-1] for w in want]))
+        assert [x[doc == i, -1].sum() for i in range(b.n)] == [sum(r[-1] for r in w) for w in want]
+        assert chars.sum() == sum(len(line) for t in texts[b.first : b.first + b.n] for line in (t or "").split("\n"))
+        u = quality.potentials(iter(x.T), doc, weights)
+        for i in range(b.n):
+            rows = x[doc == i]
+            for k, r in enumerate(rows):
+                near = [r, rows[k - 1] if k else 0 * r, rows[k + 1] if k + 1 < len(rows) else 0 * r]
+                e = np.concatenate([*near, [1, k == 0, k + 1 == len(rows)]])
+                assert u[np.flatnonzero(doc == i)[k]] == pytest.approx(e @ weights)
+
+
+def enumerated(chain, u, known=None):
+    """(marginals, pair probabilities, log partition sum, probability that all are good) by going through all labellings."""
+    n, total, all_good = len(u), 0.0, 0.0
+    good, both = np.zeros(n), np.zeros((4, n))
+    for code in range(2**n):
+        y = [(code >> i) & 1 for i in range(n)]
+        w = math.exp(chain.start * y[0] + sum(u[i] * y[i] for i in range(n)) + sum(chain.pair[y[i], y[i + 1]] for i in range(n - 1)))
+        total += w
+        good += w * np.array(y)
+        all_good += w * (sum(y) == n)
+        for i in range(1, n):
+            both[2 * y[i - 1] + y[i], i] += w
+    return good / total, both / total, math.log(total), all_good / total
+
+
+def test_messages_match_enumeration(monkeypatch):
     rng = np.random.default_rng(5)
     chain = quality.Chain(np.zeros(0), rng.normal(size=(2, 2)), 0.3)
-    lengths = np.array([1, 4, 3])
-    u = rng.normal(size=8)
-    starts = np.array([0, 1, 5])
-    p, pairs = quality.marginals(u, starts, lengths, chain, pairs=True)
-    want, want_pairs = [], np.zeros((2, 2))
-    for s, n in zip(starts, lengths, strict=True):
-        total, good, both = 0.0, np.zeros(n), np.zeros((2, 2))
-        for code in range(2**n):
-            y = [(code >> i) & 1 for i in range(n)]
-            w = math.exp(chain.start * y[0] + sum(u[s + i] * y[i] for i in range(n)) + sum(chain.pair[y[i], y[i + 1]] for i in range(n - 1)))
-            total += w
-            good += w * np.array(y)
-            for i in range(n - 1):
-                both[y[i], y[i + 1]] += w
-        want += list(good / total)
-        want_pairs += both / total
-    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
+    lengths = np.array([1, 4, 3, 11])
+    u = rng.normal(size=19)
+    starts = np.array([0, 1, 5, 8])
+    p, pairs, total = quality.expectations(u, starts, lengths, chain)
+    for k, (s, n) in enumerate(zip(starts, lengths, strict=True)):
+        want, want_pairs, want_total, _ = enumerated(chain, u[s : s + n])
+        assert np.allclose(p[s : s + n], want) and np.allclose(pairs[:, s : s + n], want_pairs) and total[k] == pytest.approx(want_total)
+    monkeypatch.setattr(quality, "LONG_CHAIN", 2)  # pieces of long chains
+    assert np.allclose(quality.marginals(u, starts, lengths, chain), p)
+    for n in range(1, 60):
+        u, one = rng.normal(size=n) * 3, np.array([n])
+        monkeypatch.setattr(quality, "LONG_CHAIN", 1000)
+        want = quality.marginals(u, np.array([0]), one, chain)
+        monkeypatch.setattr(quality, "LONG_CHAIN", 0)
+        assert np.allclose(quality.marginals(u, np.array([0]), one, chain), want)
+
+
+def test_fitting_raises_the_likelihood_of_labels():
+    """P(good document) is that of all its lines being good, here by enumeration."""
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(1, 6, 60)
+    label = (np.arange(60) % 3 > 0).astype(int)
+    x = rng.normal(size=(lengths.sum(), quality.N_OWN)) * 0.5
+    doc = np.repeat(np.arange(60), lengths)
+    x[:, 0] += np.where(label[doc] == 1, 2, np.where(rng.random(len(doc)) < 0.6, -2, 2))  # bad documents hold good lines too
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+    def likelihood(chain):
+        u = quality.potentials(iter(x.T), doc, chain.weights)
+        share = [enumerated(chain, u[s : s + n])[3] for s, n in zip(begins, lengths, strict=True)]
+        return sum(math.log(max(q if y else 1 - q, 1e-12)) for q, y in zip(share, label, strict=True))
+
+    size = np.ones(len(doc))
+    before, after = (quality.fit_chain(x, lengths, label, size, rounds=30, latent_rounds=r, l2=0.1) for r in (0, 40))
+    assert likelihood(after) > likelihood(before)
+    p = quality.marginals(quality.potentials(iter(x.T), doc, after.weights), begins, lengths, after)
+    bad_lines = (label[doc] == 0) & (x[:, 0] < 0)
+    good_lines = (label[doc] == 0) & (x[:, 0] > 1)
+    assert (p[bad_lines] < 0.5).mean() > 0.8 and (p[good_lines] > 0.5).mean() > 0.5
+
+
+def test_mixed_documents_show_both_states(spark):
+    d = "/root/testdata/sf0.01"
+    docs, known = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    chain = quality.train(docs, known)
+    rows = docs.join(known, "doc_id").filter(F.col("text").contains("\n")).orderBy("doc_id").collect()
+    good, bad = ([r.text for r in rows if r.quality == q][:40] for q in (1, 0))
+    texts = [f"{g}\n{b}\n{g2}" for g, b, g2 in zip(good, bad, good[1:], strict=False)]
+    lines = quality.scored(pa.array(texts), chain, True)[1].to_pylist()
+    assert sum(min(p) < 0.5 < max(p) for p in lines) >= 0.8 * len(lines)
+
+
+def test_long_texts_of_lines_take_little_memory():
+    """3 MB of line feeds, in a process of its own."""
+    import subprocess
+    import sys
+
+    script = (
+        "import resource, numpy as np, pyarrow as pa\nfrom quayside.llm import quality\n"
+        "chain = quality.Chain(np.linspace(-1, 1, quality.N_FEATURES), np.eye(2), 0.1, 1.0, 0.0)\n"
+        "made = quality.scored(pa.array(['\\n' * 3_000_000, 'ok']), chain, False)[0]\n"
+        "assert len(made) == 2\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=120)
+    assert int(done.stdout.split()[-1]) < 600, done.stderr
+
+
+def test_samples_are_bounded(spark):
+    """Of a labelled id in many rows and of long texts no more is drawn than the bound; equal rows come once."""
+    from quayside.llm.common import labelled_sample
+
+    rows = [(1, "same")] * 500 + [(2, f"text {i} " + "x" * 300) for i in range(400)] + [(3, "z" * 5000), (4, None)]
+    known = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "id long, class int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample, weights = labelled_sample(docs, known, "doc_id", "text", 10, 50_000, 2)
+    got = sample.collect()
+    assert [r.text for r in got if r["class"] == 0] == ["same"] and weights[0] == 1 and weights[1] > 1
+    chars = [len(r.text or "") for r in got if r["class"] == 1]
+    assert 10_000 < sum(chars) <= 50_000 and max(chars) <= 1000
+    whole, _ = labelled_sample(docs, known, "doc_id", "text", 10, 10_000_000, 2)
+    assert whole.count() == 403
 
 
 # --- 4: mixing ----------------------------------------------------------------------
