@@ -12,27 +12,36 @@ from quayside.llm.common import read_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model rejects go; it learns from those of `docs` that are labelled."""
+    """Documents that the line model rejects go; it learns from those of `docs` that are labelled.
+
+    A null or empty text is one empty line, a null id has no label, equal rows stay or
+    go together, and with no labels of both classes or no rows nothing is rejected.
+    """
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and short texts, and those that repeat themselves; equal rows stay or go together."""
     return repetition.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Equal rows are one document; texts without a word are equal.  Rows of one id with
+    other texts are other documents; a row without an id stays if its group has none
+    with one.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go or repeat as the sources' targets ask."""
+    """Documents go or repeat as the sources' targets ask; null is a source, a text without words comes once, and equal rows are as many documents."""
     return mixing.repeat_by_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document: doc_id, ids, n_tokens, round_trip."""
+    """The token ids of every document: doc_id, ids, n_tokens, round_trip; a null text has null ids, an empty one none."""
     return pieces.encode(docs)
 
 

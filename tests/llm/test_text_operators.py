@@ -1,5 +1,6 @@
 """The ten text operators against brute force, on edge cases and held-out rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -384,12 +385,36 @@ def brute_targets(sizes):
         capped |= above
 
 
-def test_targets_match_repeated_resharing():
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_targets_match_repeated_resharing(spark, monkeypatch, few):
+    """Also with the shuffles that more sources than a broadcast holds need."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
     rng = random.Random(2)
-    for _ in range(50):
-        sizes = {s: rng.choice([1, 5, 50, 500]) for s in ["a", "b", "c", "d", "Z", None][: rng.randint(1, 6)]}
-        got, want = mixing.targets(list(sizes.items())), brute_targets(sizes)
-        assert all(got[s] == pytest.approx(want[s]) for s in sizes)
+    for names in [["b", None], ["a", "b", "c", "d", "Z", None], [f"s{i}" for i in range(40)]]:
+        sizes = {s: rng.choice([0, 1, 5, 50, 500]) for s in names}
+        made = mixing.targets(spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long"))
+        got, want = {r.source: r.target for r in made.collect()}, brute_targets(sizes)
+        assert len(got) == len(sizes) and all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
+def brute_mix(rows):
+    """Copies of each (source, place, size), place by place."""
+    sizes = Counter()
+    for source, _, size in rows:
+        sizes[source] += size
+    target = brute_targets(sizes)
+    queue, reach = [], Counter()
+    for source, place, size in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        reach[source] += size
+        queue += [((reach[source] + e * sizes[source]) / target[source] if target[source] else 0.0, source, place, size) for e in range(3)]
+    end, sums = -1.0, 0
+    for finish in sorted({q[0] for q in queue}):
+        sums += sum(q[3] for q in queue if q[0] == finish)
+        if sums > sum(target.values()):
+            break
+        end = finish
+    copies = Counter((source, place) for finish, source, place, size in queue if finish <= end)
+    return {(s, p): copies[s, p] if size and target[s] else 1 for s, p, size in rows}
 
 
 def test_mix_meets_its_targets(spark, docs):
@@ -401,16 +426,58 @@ def test_mix_meets_its_targets(spark, docs):
         sources.setdefault(r.source, []).append(r)
         assert r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
     for rs in sources.values():
-        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.05 * rs[0].target + 3 * max(r.size for r in rs)
-
-
-def test_mix_on_odd_rows(spark):
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 3 * max(r.size for r in rs)
+
+
+@pytest.mark.parametrize("run", [1000, 7])
+def test_null_and_repeated_ids_are_queue_places(spark, monkeypatch, run):
+    """Every source comes within a document of its target, whatever ids its rows have."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    words = " ".join("w" * 10)
+    data = [(i, "a", words) for i in range(300)] + [(None, "b", words)] * 300 + [(7, "c", words)] * 300 + [(None, None, "x y " * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(data)
+    for source in ("a", "b", "c"):
+        rows = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 10
+    seen, rows = Counter(), []
+    for i, s, t in data:
+        n = len(WORD.findall(t))
+        seen[s, i, n] += 1
+        rows.append((s, hashlib.md5(f"{'' if i is None else i}:{n}:{seen[s, i, n]}".encode()).hexdigest(), n))
+    want = brute_mix(rows)
+    assert Counter((r.source, r.size, r.copies) for r in out) == Counter((s, n, want[s, p]) for s, p, n in rows)
+
+
+def test_mix_on_odd_rows(spark, monkeypatch):
     out = {r.doc_id: r for r in mixing.mix(odd_docs(spark)).collect()}
     assert out[0].size == 0 and out[0].taken == 0 and out[9].size == 3001 and out[None].source is None
     assert mixing.mix(odd_docs(spark, [])).count() == 0
+    assert mixing.mix(odd_docs(spark, [None, ""])).filter("taken > 0").count() == 1  # the row without an id has words
+    assert mixing.repeat_by_mix(odd_docs(spark, [])).count() == 0
     rows = mixing.repeat_by_mix(odd_docs(spark))
     assert rows.columns == odd_docs(spark, []).columns and rows.filter("doc_id = 0").count() == 1
-    assert mixing.mix(odd_docs(spark, [None, ""])).filter("taken > 0").count() == 1  # the row without an id has words
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # all joins by shuffles
+    assert Counter(map(str, mixing.repeat_by_mix(odd_docs(spark)).collect())) == Counter(map(str, rows.collect()))
+
+
+def test_repeated_rows_match_brute_force(spark):
+    """Rows of one id with other texts have places of their own; equal rows have as many as they are."""
+    data = [(i % 30, "a" if i % 3 else None, f"text {i % 45} " + "w " * (i % 7)) for i in range(90)] + [(5, "b", "one two three")] * 60
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    key = F.hex(F.xxhash64("doc_id", "source", "text", F.lit(False), F.col("source").isNull(), F.lit(False)))
+    keyed = df.withColumn("key", key).collect()
+    seen, rows, of = Counter(), [], {}
+    for r in keyed:
+        seen[r.key] += 1
+        place = hashlib.md5(f"{r.key}:{seen[r.key]}".encode()).hexdigest()
+        rows.append((r.source, place, len(WORD.findall(r.text))))
+        of[r.source, place] = (r.doc_id, r.source, r.text)
+    want = Counter()
+    for at, n in brute_mix(rows).items():
+        want[of[at]] += n
+    assert Counter(tuple(r) for r in mixing.repeat_by_mix(df).collect()) == +want
 
 
 # --- 5: cross-entropy ---------------------------------------------------------------
