@@ -22,10 +22,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import IS_SPACE, LOWERED, Block, blocks, bound_batches, cut, mix, read_table
+from quayside.llm.common import IS_SPACE, LOWERED, Block, blocks, bound_batches, cut, mix, read_table, text_function
 
 SEED = 42
 WORDS = 3
@@ -33,6 +33,8 @@ MAX_BITS = 3
 BLOCKS = 5
 PIVOTS = 32
 TILE = 8192
+#: So many spare rows are broadcast, by 16 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: A fingerprint with over this share of the rows is joined from a broadcast of at most HOT_SHARE rows.
 HOT_SHARE = 1000
 
@@ -78,18 +80,20 @@ def fingerprints(block: Block, words: int = WORDS) -> np.ndarray:
     return out
 
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            made = np.concatenate([fingerprints(b, words) for b in blocks(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+def fingerprint_column(spark, text: F.Column, words: int = WORDS) -> F.Column:
+    """The fingerprint of each text as a signed 64-bit number."""
+    bound_batches(spark)
+
+    def made(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.concatenate([np.zeros(0, np.uint64), *[fingerprints(b, words) for b in blocks(texts)]]).view(np.int64))]
+
+    return text_function(made, "fp long", text)["fp"]
 
 
 def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
-    bound_batches(df.sparkSession)
-    two = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return two.mapInArrow(lambda it: _fingerprinted(it, words), "doc_id long, fp long")
+    """(doc_id, fp, said): the fingerprint and a hash of the text."""
+    text = F.col(f"`{text_col}`")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint_column(df.sparkSession, text, words).alias("fp"), F.xxhash64(text, text.isNull()).alias("said"))
 
 
 def block_masks(max_bits: int = MAX_BITS, n_blocks: int = BLOCKS) -> list[int]:
@@ -221,7 +225,7 @@ def near_duplicates(
     id, which is null if no row of the component has one.  An empty table gives no
     rows.  Other columns are not read.
     """
-    prints = cut(with_fingerprint(df, id_col, text_col, words))
+    prints = cut(with_fingerprint(df, id_col, text_col, words).drop("said"))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     label = components(near_links(distinct.select("fp"), max_bits))
     tied = distinct.join(label, "fp")
@@ -237,24 +241,53 @@ def near_duplicates(
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def spare_rows(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, said, goes): the ids and text hashes of which rows are spare, all of them (goes), or all but one.
+
+    Of each component one row stays: the smallest id, a null one last, and of its
+    texts there the one with the smallest fingerprint and hash.
+    """
+    prints = cut(with_fingerprint(df, id_col, text_col, words).groupBy("doc_id", "fp", "said").agg(F.count("*").alias("rows")))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "said")
+    best = cut(prints.groupBy("fp").agg(F.min(rank).alias("best"), F.count("*").alias("kinds")))
+    label = components(near_links(best.select("fp"), max_bits))
+    tied = best.join(label, "fp")
+    first = tied.groupBy("root").agg(F.min("best").alias("first"))
+    far = tied.select("fp", "root").join(first, "root").select("fp", "first")
+    # fingerprints with one kind of row and no link are not joined with anything; the rest are few against all rows
+    stays = cut(best.join(far, "fp", "left").select("fp", F.coalesce("first", "best").alias("first"), "kinds"))
+    large = F.broadcast(stays.filter(F.col("kinds") * HOT_SHARE > best.count()).drop("kinds"))  # under HOT_SHARE times the kinds of a fingerprint
+    joined = prints.join(large, "fp").unionByName(prints.join(large.select("fp"), "fp", "left_anti").join(stays.drop("kinds"), "fp"))
+    goes = ~rank.eqNullSafe(F.col("first"))
+    return joined.filter(goes | (F.col("rows") > 1)).select("doc_id", "said", goes.alias("goes"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `df` whose id is the smallest of their component, with the columns that `df` has.
+    """One row of `df` for each component of near-duplicates, with the columns that `df` has.
 
-    A repeated id stays once.  A row without an id cannot be named as a copy and stays.
+    It is one with the component's smallest id; a row without an id stays only where no
+    row of its component has one.  Rows of one id with other texts are other documents.
+    Of rows with the same id and text one stays, of other columns the smallest by hash.
+    An empty table stays empty.  Spare rows are named by id and text hash and taken
+    off by a broadcast if they are few, so that texts do not move, else by a shuffle.
     """
-    found = near_duplicates(df, id_col, text_col, words, max_bits)
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    key = F.col(f"`{id_col}`")
-    names = [F.col(f"`{c}`") for c in df.columns]
-    named = df.filter(key.isNotNull()).withColumn("\x00id", key.cast("long"))
-    one = Window.partitionBy("\x00id").orderBy(F.xxhash64(*names))
-    kept = (
-        named.join(stays.withColumnRenamed("doc_id", "\x00id"), "\x00id", "left_semi")
-        .withColumn("\x00n", F.row_number().over(one))
-        .filter(F.col("\x00n") == 1)
-        .select(*names)
-    )
-    return kept.unionByName(df.filter(key.isNull()))
+    names, text = df.columns, F.col(f"`{text_col}`")
+    spare = cut(spare_rows(df, id_col, text_col, words, max_bits).withColumnsRenamed({"doc_id": "\x00i", "said": "\x00s", "goes": "\x00goes"}))
+    n = spare.count()
+    if not n:
+        return df
+    few = n <= BROADCAST_ROWS
+    marked = df.withColumn("\x00id", F.col(f"`{id_col}`").cast("long")).withColumn("\x00said", F.xxhash64(text, text.isNull()))
+    same = F.col("\x00id").eqNullSafe(F.col("\x00i")) & (F.col("\x00said") == F.col("\x00s"))
+    listed = lambda rows: F.broadcast(rows) if few else rows
+    alone = marked.join(listed(spare), same, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    twice = spare.filter(~F.col("\x00goes"))
+    if not twice.limit(1).count():
+        return alone
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    met = marked.join(listed(twice), same, "left_semi").select("\x00id", "\x00said", row.alias("row"))
+    kept = met.groupBy("\x00id", "\x00said").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))  # copies meet as one row a task
+    return alone.unionByName(kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)]))
 
 
 def op8_simhash_near_dup(spark, sf_dir: str) -> DataFrame:

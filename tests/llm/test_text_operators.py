@@ -164,11 +164,24 @@ def test_links_of_dense_balls(spark, monkeypatch):
     assert all(len(v) == 1 for v in mine.values()) and len({next(iter(v)) for v in mine.values()}) == len(mine)
 
 
-def test_keep_one_of_each_group(spark):
-    kept = simhash.keep_one(odd_docs(spark))
-    assert kept.columns == odd_docs(spark, []).columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({0, 4, 5, 6, 7, 8, 9, 10, 11} & set(ids)) and 0 in ids and 12 not in ids and ids.count(None) == 1
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_keep_one_of_each_group(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+    other = "nothing of this is in any of the other texts here"
+    rows = odd_docs(spark, [*ODD, other]).unionByName(spark.createDataFrame([(4, other + " at all", "en", "s2", 1, "x", 1.0, 7, "y"), (50, other, "en", "s2", 1, "x", 1.0, 7, "z")], DOCS))
+    rows = rows.unionByName(spark.createDataFrame([(1, " ".join(f"w{i * k}" for i in range(30)), "en", "s2", 1, "x", 1.0, 7, "y") for k in (1, 1, 7)], DOCS))
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    listed = rows.collect()
+    prints = [brute_fingerprint(r.text) for r in listed]
+    groups = {}
+    for k, (r, p) in enumerate(zip(listed, brute_components(list(range(len(listed))), prints), strict=True)):
+        groups.setdefault(p, []).append((r.doc_id is None, r.doc_id or 0, k))
+    want = sorted(str(listed[min(g)[2]].doc_id) for g in groups.values())
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == want and want.count("1") == 2  # two texts of one id are two documents
+    assert Counter(map(str, got)) - Counter(map(str, listed)) == Counter()
+    assert simhash.keep_one(rows.limit(0)).count() == 0 and simhash.keep_one(docs.limit(1)).count() == 1
 
 
 # --- 1: language --------------------------------------------------------------------
@@ -720,8 +733,11 @@ def test_pipeline_stages_match_their_parts(spark):
     groups = brute_components(ids, prints)
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(groups))
     mixed = stages["mixing"](spark, one, d).cache()
-    taken = {r.doc_id: r.copies for r in mixing.mix(one).collect() if r.copies}
-    assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == taken
+    rows = one.select("*", F.hex(F.xxhash64(*one.columns, *[F.col(c).isNull() for c in one.columns])).alias("key")).collect()
+    places = {(r.source, hashlib.md5(f"{r.key}:1".encode()).hexdigest(), len(WORD.findall(r.text))): r.doc_id for r in rows}
+    copies = brute_mix(list(places))
+    taken = +Counter({i: copies[s, p] for (s, p, _), i in places.items()})
+    assert len(places) == len(rows) and Counter(r.doc_id for r in mixed.select("doc_id").collect()) == taken
     out = stages["encoding"](spark, mixed, d)
     assert out.count() == sum(taken.values()) and out.filter("NOT round_trip").count() == 0
 
