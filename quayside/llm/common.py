@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.plans.lineage import cut  # noqa: F401  the operators take it from here
+from quayside.plans.lineage import cut, shared_path  # noqa: F401  the operators take them from here
 
 #: Bytes of text that one block holds at most, unless one document is longer.
 BLOCK_BYTES = 1 << 20

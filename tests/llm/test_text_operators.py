@@ -537,7 +537,7 @@ def test_counts_grow_with_the_words(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in [*few, *rare]], "doc_id long, quality int")
     out = {r.doc_id: r for r in crossentropy.cross_entropy_difference(docs, labels).collect()}
     floor = -math.log(0.01 / 2**18)
-    assert all(out[i].n_tokens == 12_000 and out[i].background_loss == pytest.approx(floor) for i in rare)
+    assert all(out[i].n_tokens == 12_000 and out[i].background_loss == pytest.approx(floor, rel=1e-4) for i in rare)
     alone = {r.doc_id: r for r in crossentropy.cross_entropy_difference(docs.filter("doc_id < 100"), labels).collect()}
     want = brute_losses(few, [i for i in few if i % 2])
     for i in few:
