@@ -65,11 +65,14 @@ def archetype_points(labelled: DataFrame, x: str = "demand_norm", y: str = "sent
     return labelled.orderBy(F.desc("risk_score"), "seller_id").limit(n).select("seller_id", x, y, "archetype")
 
 
-def schema_edges(spark: SparkSession, registry: dict[str, Table]) -> DataFrame:
-    """(table_name, foreign_key, references): who holds a key that is another's primary key."""
+def schema_links(registry: dict[str, Table]) -> list[tuple[str, str, str]]:
+    """(table, key, table that it names): who holds a key that is another's primary key."""
     keys = {t.pk[0]: name for name, t in registry.items() if t.pk and len(t.pk) == 1}
-    rows = [(name, fk, keys[fk]) for name, t in registry.items() for fk in t.fks if fk in keys and keys[fk] != name]
-    return spark.createDataFrame(rows, "table_name string, foreign_key string, references string")
+    return [(name, fk, keys[fk]) for name, t in registry.items() for fk in t.fks if fk in keys and keys[fk] != name]
+
+
+def schema_edges(spark: SparkSession, registry: dict[str, Table]) -> DataFrame:
+    return spark.createDataFrame(schema_links(registry), "table_name string, foreign_key string, references string")
 
 
 def weekly_trend(weekly: DataFrame, series: list[str], entity: str, period: str) -> DataFrame:
@@ -84,3 +87,32 @@ def residuals(forecast: DataFrame, actual: str = "actual", predicted: str = "pre
     span = rows.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     at = F.least(F.floor(F.try_divide((F.col("r") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     return rows.join(F.broadcast(span), F.lit(True)).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("r").alias("mean_residual"))  # one row
+
+
+def quantile_table(quantiles: DataFrame, names: tuple[str, ...] = ("p25", "p50", "p75", "p95")) -> DataFrame:
+    """A row for each measure and a column for each quantile, from (metric, value) with metrics as in price_p25."""
+    parts = quantiles.select(F.regexp_extract("metric", "^(.*)_(p[0-9]+)$", 1).alias("measure"), F.regexp_extract("metric", "_(p[0-9]+)$", 1).alias("at"), "value")
+    return parts.groupBy("measure").pivot("at", list(names)).agg(F.first("value"))
+
+
+def lag_bars(correlations: DataFrame) -> DataFrame:
+    """(lag, corr, n_pairs, is_peak): the peak is the largest absolute correlation, the smallest lag of equals."""
+    peak = correlations.filter("corr IS NOT NULL").agg(F.min_by("lag", F.struct(-F.abs("corr"), F.col("lag"))).alias("peak"))
+    return correlations.join(F.broadcast(peak), F.lit(True)).select("lag", "corr", "n_pairs", F.coalesce(F.col("lag") == F.col("peak"), F.lit(False)).alias("is_peak"))  # one row
+
+
+def elbow_points(elbow: DataFrame, chosen: int = 4) -> DataFrame:
+    """(k, wssse, share_of_first, is_chosen) in order of k."""
+    first = elbow.agg(F.min_by("wssse", "k").alias("first"))
+    return elbow.join(F.broadcast(first), F.lit(True)).select("k", "wssse", F.try_divide("wssse", "first").alias("share_of_first"), (F.col("k") == chosen).alias("is_chosen")).orderBy("k")  # one row
+
+
+def temporal_bars(coverage: DataFrame) -> DataFrame:
+    """(label, first_ts, last_ts, n_non_null): a bar for each time column, the earliest first."""
+    label = F.concat_ws(" · ", "table_name", "column_name")
+    return coverage.select(label.alias("label"), "first_ts", "last_ts", "n_non_null").orderBy("first_ts", "label")
+
+
+def key_bars(cardinality: DataFrame, value: str = "approx_distinct", tables: list[str] | None = None) -> DataFrame:
+    """A row for each shared key and a column of distinct values for each table, 0 where the table has no such key."""
+    return cardinality.groupBy("shared_key").pivot("table_name", tables).agg(F.first(value)).fillna(0)

@@ -18,6 +18,7 @@ ARCHETYPE_ACTIONS = {
     "centrality-driven": "Dual-source + watchlist",
     "low-risk": "Routine monitoring",
 }
+# --- fixed values: the index's columns --------------------------------------------
 INDEX_COLUMNS = [
     "seller_id", "seller_state", "risk_score", "risk_class", "demand_norm", "sentiment_norm", "network_norm", "contagion_norm", "supply_norm",
     "avg_delay_days", "avg_sentiment_score", "pagerank_score", "substitutability_deficit", "supply_concentration_risk",
@@ -74,7 +75,8 @@ def banded(rows: DataFrame, exact: bool = False, cuts: tuple[float, float] = (0.
 
 
 def risk_band_counts(index: DataFrame) -> DataFrame:
-    order = F.when(F.col("risk_class") == "CRITICAL", 0).when(F.col("risk_class") == "WARNING", 1).otherwise(2)
+    """Sellers by band, from SAFE to CRITICAL."""
+    order = F.when(F.col("risk_class") == "SAFE", 0).when(F.col("risk_class") == "WARNING", 1).otherwise(2)
     return index.groupBy("risk_class").agg(F.count("*").alias("n_sellers")).orderBy(order)
 
 

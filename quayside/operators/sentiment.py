@@ -95,9 +95,10 @@ def lead_lag_correlations(sentiment: DataFrame, volume: DataFrame, max_lag: int
     """(lag, corr, n_pairs): change of sentiment against the change of volume `lag` periods on, pooled; all lags in one pass.
 
     `sentiment` has seller_id, period and avg_score, `volume` seller_id, period and volume.
+    A period without any score is none: the lags run over the others.
     """
     w = Window.partitionBy("seller_id").orderBy("period")
-    both = sentiment.select("seller_id", "period", "avg_score").join(volume, ["seller_id", "period"])
+    both = sentiment.filter("avg_score IS NOT NULL").select("seller_id", "period", "avg_score").join(volume, ["seller_id", "period"])
     delta = both.withColumn("d_sent", F.col("avg_score") - F.lag("avg_score").over(w)).withColumn("d_vol", F.col("volume") - F.lag("volume").over(w))
     lags = range(max_lag + 1)
     led = delta.select("d_sent", *[(F.lead("d_vol", k).over(w) if k else F.col("d_vol")).alias(f"v{k}") for k in lags])

@@ -8,22 +8,31 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StopWordsRemover, Tokenizer
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quayside.plans.lineage import cut
+
 # --- fixed values: Portuguese words that say nothing of a failure, and those that name one
-DOMAIN_STOPWORDS_PT = (
-    "produto produtos comprei compra veio vir é pra achei fica ficou vez ser fazer agora aqui vou todo toda coisa vendedor loja item pedido"
-).split()
+DOMAIN_STOPWORDS_PT = [
+    "produto", "produtos", "comprei", "compra", "veio", "vir", "é", "pra", "achei", "fica", "ficou", "vez",
+    "ser", "fazer", "agora", "aqui", "vou", "todo", "toda", "coisa", "vendedor", "loja", "item", "pedido",
+]
 FAILURE_KEYWORDS_PT = {
-    "late_or_not_delivered": (
-        "entrega entregue atraso atrasado prazo demora demorou chegou recebi recebido dias correio transportadora aguardando enviado"
-    ).split(),
-    "product_quality": "produto qualidade quebrado defeito ruim péssimo pessima danificado estragado funciona horrível".split(),
-    "wrong_or_incomplete": "errado diferente veio faltando outro outra nota cancelado devolução devolver troca incompleto".split(),
+    "late_or_not_delivered": [
+        "entrega", "entregue", "atraso", "atrasado", "prazo", "demora", "demorou", "chegou", "recebi", "recebido", "dias", "correio",
+        "transportadora", "aguardando", "enviado",
+    ],
+    "product_quality": [
+        "produto", "qualidade", "quebrado", "defeito", "ruim", "péssimo", "pessima", "danificado", "estragado", "funciona", "horrível",
+    ],
+    "wrong_or_incomplete": [
+        "errado", "diferente", "veio", "faltando", "outro", "outra", "nota", "cancelado", "devolução", "devolver", "troca", "incompleto",
+    ],
 }
 #: Ties between a seller's shares go to the later mode.
 MODE_ORDER = ["late_or_not_delivered", "product_quality", "wrong_or_incomplete", "other"]
@@ -51,7 +60,7 @@ def nlp_pipeline(text: str = "text_lower", language: str = "portuguese", feature
     ])
 
 
-def fit_nlp(labelled: DataFrame, text: str, key: str, language: str = "portuguese", light: bool = True, features: int = 1 << 16) -> dict:
+def fit_nlp(labelled: DataFrame, text: str, key: str, language: str = "portuguese", light: bool = False, features: int = 1 << 16) -> dict:
     """Cross-validated text classifier with areas under both curves on the held-out tenths."""
     rows = labelled.filter(F.col(text).isNotNull()).withColumn("text_lower", F.lower(text)).withColumn("label", F.col("label").cast("double"))
     train, test = hash_split(rows, key)
@@ -109,7 +118,7 @@ def negative_topics(
     tokens = RegexTokenizer(inputCol="text_lower", outputCol="tokens", pattern="[^\\p{L}]+", minTokenLength=3).transform(rows)
     words = StopWordsRemover(inputCol="tokens", outputCol="words", stopWords=stop).transform(tokens).filter(F.size("words") > 0)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=0.9).fit(words)
-    counted = counter.transform(words).cache()
+    counted = cut(counter.transform(words))
     lda = LDA(k=k, maxIter=iterations, seed=seed).fit(counted)
     described = lda.describeTopics(12).collect()
     terms = {r["topic"]: [counter.vocabulary[i] for i in r["termIndices"]] for r in described}
@@ -140,6 +149,47 @@ def fit_mlp(train: DataFrame, features: int, hidden: int = 16, iterations: int =
     return MultilayerPerceptronClassifier(layers=[features, hidden, 2], maxIter=iterations, seed=seed, labelCol="label").fit(train)
 
 
+def term_vectors(rows: DataFrame, seq: str, vocabulary: int = VOCAB) -> DataFrame:
+    """features: the shares of a sequence's known words, as a sparse vector over their numbers."""
+    counted = F.transform(F.array_sort(F.array_distinct(F.filter(seq, lambda x: x > UNK))), lambda x: F.struct(x.alias("i"), F.size(F.filter(seq, lambda y: y == x)).alias("n")))
+    total = F.greatest(F.size(F.filter(seq, lambda x: x > UNK)), F.lit(1))
+    dense = rows.withColumn("\x00c", counted).withColumn("\x00n", total)
+    values = F.transform("\x00c", lambda c: c["n"] / F.col("\x00n"))
+    maker = F.udf(lambda at, x: SparseVector(vocabulary, at, x), VectorUDT())
+    return dense.withColumn("features", maker(F.transform("\x00c", lambda c: c["i"]), values)).drop("\x00c", "\x00n")
+
+
+def mlp_batch_scorer(model, vocabulary: int = VOCAB) -> Callable[[], Callable]:
+    """A factory of a numpy scorer of padded sequences by a fitted network: the probability of class 1."""
+    weights, layers = model.weights.toArray().tolist(), list(model.getLayers())
+
+    def make() -> Callable:
+        import numpy as np
+
+        parts, at = [], 0
+        for a, b in zip(layers, layers[1:], strict=False):
+            w = np.asarray(weights[at : at + a * b]).reshape(b, a, order="F")
+            parts.append((w, np.asarray(weights[at + a * b : at + a * b + b])))
+            at += a * b + b
+
+        def predict(inputs):
+            seq = np.asarray(inputs, np.int64)
+            known = seq > UNK
+            x = np.zeros((len(seq), vocabulary))
+            np.add.at(x, (np.nonzero(known)[0], seq[known]), 1.0)
+            x /= np.maximum(known.sum(axis=1, keepdims=True), 1)
+            for k, (w, bias) in enumerate(parts):
+                x = x @ w.T + bias
+                if k + 1 < len(parts):
+                    x = 1 / (1 + np.exp(-x))
+            x = np.exp(x - x.max(axis=1, keepdims=True))
+            return x[:, 1] / x.sum(axis=1)
+
+        return predict
+
+    return make
+
+
 def linear_batch_scorer(weights: list[float], bias: float) -> Callable[[], Callable]:
     """A factory of a vectorised scorer, loaded once a Python worker."""
 

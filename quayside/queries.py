@@ -18,20 +18,34 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Lines of so many pieces and more make the graph: over all lines every pair of sellers shares customers.
-GRAPH_QUANTITY = 48
 #: Iterations of the registered graph queries.
 ROUNDS = 10
 
 
-_MADE: dict[tuple[str, str, str], DataFrame] = {}
+_MADE: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def forget() -> None:
+    """Drop what once() holds, so that a query is timed whole."""
+    _MADE.clear()
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of a folder's files, as its file system has them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        one = files.next()
+        found.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return " ".join(sorted(found))
 
 
 def once(f: Query) -> Query:
-    """`f` made once a session and folder: many registered queries start from the same checkpointed table."""
+    """`f` made once a session and state of a folder's files: many registered queries start from the same checkpointed table."""
 
     def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, f.__name__, sf_dir)
+        key = (spark.sparkContext.applicationId, f.__name__, sf_dir, _state(spark, sf_dir))
         if key not in _MADE:
             _MADE[key] = f(spark, sf_dir)
         return _MADE[key]
@@ -298,9 +312,16 @@ def rolling_origin_folds(spark, sf_dir):
     return spark.createDataFrame(demand.rolling_origin_folds(*span), "fold int, train_upto int, validate_upto int")
 
 
+@once
 def _forecast(spark, sf_dir):
     rows = cut(lines(spark, sf_dir).select("seller_id", "seller_state", "price", "freight_value", "product_category_name", "delay_days", "year_week"))
-    return forecast.fit_and_score(demand.weekly_volume(rows), rows, roles(spark, sf_dir)["sellers"], light=False)
+    found = forecast.fit_and_score(demand.weekly_volume(rows), rows, roles(spark, sf_dir)["sellers"])
+    return {name: cut(df) for name, df in found.items()}
+
+
+@once
+def _regional(spark, sf_dir):
+    return {name: cut(df) for name, df in forecast.fit_regional_forecast(cut(demand.weekly_volume(lines(spark, sf_dir), "seller_state"))).items()}
 
 
 @query()
@@ -308,9 +329,68 @@ def demand_forecast_scores(spark, sf_dir):
     return _forecast(spark, sf_dir)["seller_scores"]
 
 
+@query()
+def demand_forecast_predictions(spark, sf_dir):
+    return _forecast(spark, sf_dir)["predictions"]
+
+
+@query()
+def demand_forecast_metrics(spark, sf_dir):
+    return _forecast(spark, sf_dir)["metrics"]
+
+
+@query()
+def demand_forecast_importances(spark, sf_dir):
+    return charts.feature_importances(_forecast(spark, sf_dir)["importances"])
+
+
+MODEL_ROWS = f"""{FEATURES}, rows AS (
+  SELECT f.*, w.global_week_idx, CAST(weekly_order_count AS DOUBLE) AS label FROM features f JOIN weeks w USING (year_week)
+  WHERE lag_1 IS NOT NULL AND lag_4 IS NOT NULL AND rolling_4w_mean IS NOT NULL
+), m AS (SELECT avg(label) AS mean FROM rows WHERE global_week_idx <= {SPLIT})"""
+
+
+@query(f"""
+WITH {MODEL_ROWS}, naive AS (
+  SELECT {r('sqrt(avg((label - lag_1) * (label - lag_1)))')} AS persistence_lag1_rmse, {r('sqrt(avg((label - mean) * (label - mean)))')} AS train_mean_rmse FROM rows, m WHERE global_week_idx > {SPLIT}
+)
+SELECT (SELECT count(*) FROM rows) AS n_predictions, CAST((SELECT sum(label) FROM rows) AS DOUBLE) AS sum_label, (SELECT count(DISTINCT seller_id) FROM rows) AS n_sellers,
+       (SELECT {r('avg(delay_days)')} FROM lines WHERE seller_id IN (SELECT seller_id FROM rows)) AS mean_delay, 1e0 AS importance_sum, {len(demand.FEATURE_COLS)} AS n_features,
+       persistence_lag1_rmse, train_mean_rmse, true AS best_is_least, true AS errors_positive FROM naive
+""")
+def demand_forecast_report(spark, sf_dir):
+    """What must hold of any fit: the rows that it predicts and scores, importances that sum to 1, and the better model chosen."""
+    made = _forecast(spark, sf_dir)
+    rows = made["predictions"].agg(F.count("prediction").alias("n_predictions"), F.sum("label").alias("sum_label"), F.count_distinct("seller_id").alias("n_sellers"))
+    weights = made["importances"].agg(rounded(F.sum("importance"), 6).alias("importance_sum"), F.count("*").cast("int").alias("n_features"))
+    scored = made["seller_scores"].select("seller_id").join(lines(spark, sf_dir), "seller_id").agg(rounded(F.avg("delay_days"), 6).alias("mean_delay"))
+    least = F.when(F.col("best_name") == "gbt", F.col("gbt_rmse") <= F.col("rf_rmse")).otherwise(F.col("rf_rmse") < F.col("gbt_rmse"))
+    naive = [rounded(F.col(c), 6).alias(c) for c in ("persistence_lag1_rmse", "train_mean_rmse")]
+    chosen = made["metrics"].select(*naive, least.alias("best_is_least"), ((F.col("gbt_rmse") > 0) & (F.col("rf_cv_rmse") > 0)).alias("errors_positive"))
+    return rows.crossJoin(scored).crossJoin(weights).crossJoin(chosen)  # one row each
+
+
 @query()
 def regional_forecast(spark, sf_dir):
-    return forecast.fit_regional_forecast(cut(demand.weekly_volume(lines(spark, sf_dir), "seller_state")), light=False)["forecast"]
+    return _regional(spark, sf_dir)["forecast"]
+
+
+@query()
+def regional_forecast_metrics(spark, sf_dir):
+    return _regional(spark, sf_dir)["metrics"]
+
+
+@query(f"""
+WITH {LINES}, weekly AS (SELECT seller_state, year_week, count(*) AS n FROM lines WHERE seller_state IS NOT NULL GROUP BY 1, 2),
+weeks AS (SELECT year_week, CAST(row_number() OVER (ORDER BY year_week) - 1 AS INTEGER) AS global_week_idx FROM (SELECT DISTINCT year_week FROM weekly)),
+lagged AS (SELECT *, lag(n, 1) OVER w AS lag_1, lag(n, 4) OVER w AS lag_4 FROM weekly WINDOW w AS (PARTITION BY seller_state ORDER BY year_week)),
+rows AS (SELECT * FROM lagged JOIN weeks USING (year_week) WHERE lag_1 IS NOT NULL AND lag_4 IS NOT NULL),
+cut_at AS (SELECT min(global_week_idx) + CAST(round_even((max(global_week_idx) - min(global_week_idx)) * 0.8e0, 0) AS INTEGER) AS t FROM rows)
+SELECT seller_state, count(*) AS n_weeks, CAST(sum(n) AS DOUBLE) AS sum_actual FROM rows, cut_at WHERE global_week_idx > t GROUP BY 1
+""")
+def regional_forecast_rows(spark, sf_dir):
+    """The held-out weeks that the regional forecast covers."""
+    return _regional(spark, sf_dir)["forecast"].groupBy("seller_state").agg(F.count("predicted").alias("n_weeks"), F.sum("actual").alias("sum_actual"))
 
 
 # --- sentiment -------------------------------------------------------------------
@@ -425,7 +505,7 @@ def peak_lag(spark, sf_dir):
 
 
 def graph_lines(spark, sf_dir):
-    return lines(spark, sf_dir).filter(F.col("quantity") >= GRAPH_QUANTITY).withColumnRenamed("customer_id", "customer_unique_id")
+    return lines(spark, sf_dir).withColumnRenamed("customer_id", "customer_unique_id")
 
 
 def _edges(spark, sf_dir):
@@ -433,7 +513,7 @@ def _edges(spark, sf_dir):
 
 
 EDGES = f"""{LINES}, pairs AS (
-  SELECT 'c:' || customer_id AS c, CAST(seller_id AS VARCHAR) AS s, count(*) AS weight, avg(delay_days) AS avg_delay FROM lines WHERE quantity >= {GRAPH_QUANTITY} GROUP BY 1, 2
+  SELECT 'c:' || customer_id AS c, CAST(seller_id AS VARCHAR) AS s, count(*) AS weight, avg(delay_days) AS avg_delay FROM lines GROUP BY 1, 2
 ), edges AS MATERIALIZED (
   SELECT c AS src, s AS dst, weight, avg_delay, 'purchase' AS edge_type FROM pairs UNION ALL SELECT s, c, weight, avg_delay, 'serves' FROM pairs
 ), vertices AS MATERIALIZED (SELECT DISTINCT s AS id, 'seller' AS type FROM pairs UNION ALL SELECT DISTINCT c, 'customer' FROM pairs),
@@ -508,16 +588,13 @@ def pagerank_delayed(spark, sf_dir):
     return _ranked(graph.pagerank(graph.delayed_edges(_edges(spark, sf_dir)), rounds=ROUNDS))
 
 
-SPARSE = "sparse AS MATERIALIZED (SELECT src, dst FROM edges WHERE weight >= 2)"
-
-
-@query(f"WITH {EDGES}, {SPARSE}, {components_sql('sparse')} SELECT id, component, component_size FROM components")
+@query(f"WITH {EDGES}, {components_sql('edges')} SELECT id, component, component_size FROM components")
 def connected_components(spark, sf_dir):
-    return graph.connected_components(_edges(spark, sf_dir).filter("weight >= 2"))
+    return graph.connected_components(_edges(spark, sf_dir))
 
 
 @query(f"""
-WITH {EDGES}, {SPARSE}, {components_sql('sparse')}
+WITH {EDGES}, {components_sql('edges')}
 SELECT CASE WHEN component_size = 1 THEN '1 (isolated)' WHEN component_size < 5 THEN '2–4' WHEN component_size < 10 THEN '5–9' WHEN component_size < 100 THEN '10–99' ELSE '100+' END AS size_bin,
        count(DISTINCT component) AS n_components FROM components GROUP BY 1
 """)
@@ -557,8 +634,8 @@ def backup_map(spark, sf_dir):
     return graph.backup_map(_motifs(spark, sf_dir))
 
 
-TWO_HOP = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM shared) WHERE rn <= 25),
-hops AS (SELECT a.src AS a, b.dst AS c, max(a.weight) AS bridge FROM top a JOIN top b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2),
+TWO_HOP = f"""top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM shared) WHERE rn <= {graph.TOP_PARTNERS}),
+hops AS (SELECT a.src AS a, b.dst AS c, max(b.weight) AS bridge FROM top a JOIN top b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2),
 two_hop AS (SELECT a AS seller_id, count(*) AS two_hop_reach_count, arg_min(c, (-bridge, c)) AS nearest_two_hop_seller FROM hops h
             WHERE NOT EXISTS (SELECT 1 FROM shared s WHERE s.src = h.a AND s.dst = h.c) GROUP BY 1)"""
 
@@ -568,10 +645,10 @@ def two_hop_backups(spark, sf_dir):
     return graph.two_hop_backups(cut(_shared(spark, sf_dir)))
 
 
-CELLS = """cells AS (
+CELLS = f"""cells AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS seller_id, n_name AS seller_state, p_type AS product_category_name, count(*) AS n_items
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3
-), top_cells AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seller_state, product_category_name ORDER BY n_items DESC, seller_id) AS rn FROM cells) WHERE rn <= 5),
+), top_cells AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seller_state, product_category_name ORDER BY n_items DESC, seller_id) AS rn FROM cells) WHERE rn <= {graph.CELL_CAP}),
 cat_pairs AS (SELECT a.seller_id AS a, b.seller_id AS b, count(*) AS weight FROM top_cells a JOIN top_cells b USING (seller_state, product_category_name) WHERE a.seller_id < b.seller_id GROUP BY 1, 2),
 cat AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM cat_pairs UNION ALL SELECT b, a, weight FROM cat_pairs)"""
 CAT_BACKUPS = "cat_backup AS (SELECT src AS seller_id, count(DISTINCT dst) AS n_category_substitutes, arg_min(dst, (-weight, dst)) AS catregion_backup_seller_id, max(weight) AS catregion_backup_strength FROM cat GROUP BY 1)"
@@ -584,7 +661,7 @@ def _cells(spark, sf_dir):
 
 
 def _cat(spark, sf_dir):
-    return graph.catregion_edges(_cells(spark, sf_dir), cap=5)
+    return graph.catregion_edges(_cells(spark, sf_dir))
 
 
 @query(f"WITH {CELLS} SELECT * FROM cells")
@@ -613,7 +690,7 @@ def pagerank_catregion(spark, sf_dir):
 
 
 BFS = f"""
-WITH {EDGES}, seeds AS (SELECT dst AS id FROM edges WHERE edge_type = 'purchase' GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 10),
+WITH {EDGES}, {pagerank_sql('edges', 'p')}, seeds AS MATERIALIZED (SELECT id FROM p_{ROUNDS} JOIN vertices USING (id) WHERE type = 'seller' ORDER BY {r('pr')} DESC, id LIMIT 10),
 near AS (SELECT s.id AS seller_id, min(f.src) AS backup_seller_id FROM seeds s JOIN edges e ON e.src = s.id JOIN edges f ON f.dst = e.dst AND f.src <> s.id GROUP BY 1)
 SELECT s.id AS seller_id, n.backup_seller_id, CAST(CASE WHEN n.backup_seller_id IS NOT NULL THEN 2 END AS INTEGER) AS hop_count FROM seeds s LEFT JOIN near n ON n.seller_id = s.id
 """
@@ -622,7 +699,8 @@ SELECT s.id AS seller_id, n.backup_seller_id, CAST(CASE WHEN n.backup_seller_id
 @query(BFS)
 def bfs_backups(spark, sf_dir):
     edge, vertex = cut(_edges(spark, sf_dir)), graph.vertices(graph_lines(spark, sf_dir))
-    seeds = graph.degree_stats(vertex, edge).orderBy(F.desc("in_degree_purchase_only"), "id").limit(10)
+    ranked = graph.pagerank(edge, rounds=ROUNDS).join(vertex.filter("type = 'seller'"), "id")
+    seeds = ranked.orderBy(F.desc(rounded(F.col("pagerank"), 6)), "id").limit(10)
     return graph.bfs_backups(edge, seeds, vertex)
 
 
@@ -799,6 +877,111 @@ def chart_heatmap(spark, sf_dir):
     return charts.heatmap(counts, "seller_state", "y", "n", ["y1996", "y1997"]).fillna(0)
 
 
+@query(f"""
+WITH {LINES}, q AS (SELECT quantile_disc(CAST(delay_days AS DOUBLE), [0.25, 0.5, 0.75, 0.95]) AS d, quantile_disc(price, [0.25, 0.5, 0.75, 0.95]) AS p FROM lines)
+SELECT 'delay' AS measure, d[1] AS p25, d[2] AS p50, d[3] AS p75, d[4] AS p95 FROM q UNION ALL SELECT 'price', p[1], p[2], p[3], p[4] FROM q
+""")
+def chart_eda_quantiles(spark, sf_dir):
+    return charts.quantile_table(eda_quantiles(spark, sf_dir))
+
+
+@query(f"{LEAD_SQL}, leads AS ({LEADS}) SELECT *, coalesce(lag = (SELECT lag FROM leads WHERE corr IS NOT NULL ORDER BY abs(corr) DESC, lag LIMIT 1), false) AS is_peak FROM leads")
+def chart_lag_bars(spark, sf_dir):
+    return charts.lag_bars(lead_lag_correlations(spark, sf_dir))
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{n} · {c}' AS label, CAST(min({c}) AS VARCHAR) AS first_ts, CAST(max({c}) AS VARCHAR) AS last_ts, count({c}) AS n_non_null FROM {n}" for n, t in STAR.items() for c in t.temporal
+))
+def chart_temporal_bars(spark, sf_dir):
+    return charts.temporal_bars(temporal_coverage(spark, sf_dir))
+
+
+KEY_TABLES = [n for n in STAR if any(k in STAR[n].alias for k in STAR_KEYS)]
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{k}' AS shared_key, " + ", ".join(f"(SELECT count(DISTINCT {STAR[n].alias[k]}) FROM {n}) AS {n}" if k in STAR[n].alias else f"CAST(0 AS BIGINT) AS {n}" for n in KEY_TABLES)
+    for k in STAR_KEYS if any(k in STAR[n].alias for n in KEY_TABLES)
+))
+def chart_key_bars(spark, sf_dir):
+    return charts.key_bars(shared_key_cardinality(spark, sf_dir), "exact_distinct", KEY_TABLES)
+
+
+@query(f"WITH {INDEX} SELECT risk_class, count(*) AS n_sellers, {r('count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS share FROM index_of GROUP BY 1")
+def chart_band_shares(spark, sf_dir):
+    return charts.band_shares(risk_band_counts(spark, sf_dir)).withColumn("share", rounded(F.col("share"), 6))
+
+
+CORRELATED = list(risk.WEIGHTS)
+
+
+@query(f"WITH {INDEX} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 5)} AS corr FROM index_of" for a in CORRELATED for b in CORRELATED))
+def chart_correlation_matrix(spark, sf_dir):
+    return charts.correlation_matrix(_index(spark, sf_dir), CORRELATED).withColumn("corr", rounded(F.col("corr"), 5))
+
+
+@query(f"WITH {INDEX} SELECT seller_id, {r('demand_norm', 8)} AS demand_norm, {r('network_norm', 8)} AS network_norm, risk_class FROM index_of ORDER BY index_of.risk_score DESC, seller_id LIMIT 50")
+def chart_quadrant(spark, sf_dir):
+    out = charts.quadrant(_index(spark, sf_dir), "demand_norm", "network_norm")
+    return out.select("seller_id", *[rounded(F.col(c), 8).alias(c) for c in ("demand_norm", "network_norm")], "risk_class")
+
+
+@query(f"""
+WITH {ROLLUP}, k AS (SELECT seller_id FROM rollup_of GROUP BY 1 ORDER BY sum(n_reviews) DESC, seller_id LIMIT 5), top AS (SELECT * FROM rollup_of WHERE seller_id IN (FROM k))
+SELECT period, seller_id, 'avg_score' AS series, {r('avg_score')} AS value FROM top UNION ALL SELECT period, seller_id, 'n_reviews', CAST(n_reviews AS DOUBLE) FROM top
+""")
+def chart_weekly_trend(spark, sf_dir):
+    top = sentiment.top_sellers_by_reviews(_rollup(spark, sf_dir))
+    return charts.weekly_trend(top, ["avg_score", "n_reviews"], "seller_id", "period").withColumn("value", rounded(F.col("value"), 6))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def chart_top_n(spark, sf_dir):
+    return charts.top_n(star(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{o}')" for n, k, o in charts.schema_links(STAR)) + ") AS t(table_name, foreign_key, \"references\")" if charts.schema_links(STAR) else None)
+def chart_schema(spark, sf_dir):
+    return charts.schema_edges(spark, STAR)
+
+
+@query()
+def chart_elbow(spark, sf_dir):
+    return charts.elbow_points(kmeans_elbow(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n_sizes, true AS falls, true AS bounded FROM range(5)")
+def elbow_report(spark, sf_dir):
+    """More clusters never leave much more variance, and silhouettes lie between -1 and 1."""
+    points = kmeans_elbow(spark, sf_dir).agg(
+        F.count("*").alias("n_sizes"), F.max_by("wssse", "k").alias("last"), F.min_by("wssse", "k").alias("first"), F.max(F.abs("silhouette")).alias("most")
+    )
+    return points.select("n_sizes", (F.col("last") <= F.col("first")).alias("falls"), (F.col("most") <= 1).alias("bounded"))
+
+
+@query()
+def chart_archetypes(spark, sf_dir):
+    return charts.archetype_points(risk.risk_archetypes(_index(spark, sf_dir))[0])
+
+
+@query(f"WITH {INDEX} SELECT seller_id, {r('risk_score', 8)} AS risk_score, risk_class, true AS named FROM index_of ORDER BY index_of.risk_score DESC, seller_id LIMIT 20")
+def watchlist_order(spark, sf_dir):
+    """The watch-list's sellers, scores and bands; the archetypes, which come from clusters, are known ones."""
+    named = F.col("archetype").isin(*risk.ARCHETYPE_ACTIONS)
+    return risk_watchlist(spark, sf_dir).select("seller_id", rounded(F.col("risk_score"), 8).alias("risk_score"), "risk_class", named.alias("named"))
+
+
+@query()
+def chart_residuals(spark, sf_dir):
+    return charts.residuals(_regional(spark, sf_dir)["forecast"])
+
+
+@query()
+def chart_confusion(spark, sf_dir):
+    return charts.confusion_shares(text_classifier_confusion(spark, sf_dir))
+
+
 # --- text models, batch inference and streams --------------------------------------
 
 
@@ -807,16 +990,75 @@ def _labelled_texts(spark, sf_dir):
     return docs.join(labels, "doc_id").select("doc_id", "text", "lang", F.col("quality").cast("double").alias("label"))
 
 
+@once
+def _classifier(spark, sf_dir):
+    fitted = text.fit_nlp(_labelled_texts(spark, sf_dir), "text", "doc_id", "english")
+    return fitted | {"predictions": cut(fitted["predictions"].select("doc_id", "label", "prediction"))}
+
+
 @query()
 def text_classifier_confusion(spark, sf_dir):
-    fitted = text.fit_nlp(_labelled_texts(spark, sf_dir), "text", "doc_id", "english", features=1 << 12)
-    return sentiment.confusion_counts(fitted["predictions"])
+    return sentiment.confusion_counts(_classifier(spark, sf_dir)["predictions"])
 
 
 @query()
-def negative_topics(spark, sf_dir):
+def text_classifier_report(spark, sf_dir):
+    """Recall and precision of each class, and the areas under both curves."""
+    fitted = _classifier(spark, sf_dir)
+    return text.class_report(fitted["predictions"]).withColumns({c: F.lit(fitted[c]) for c in ("auc_roc", "auc_pr")})
+
+
+@query("SELECT count(*) AS n_split, true AS apart, true AS tested_enough, true AS useful FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL")
+def text_classifier_split(spark, sf_dir):
+    """Train and test are apart and together all; the held-out area under the curve is over a coin's."""
+    rows = _labelled_texts(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "label")
+    train, test = text.hash_split(rows, "doc_id")
+    fitted = _classifier(spark, sf_dir)
+    both = train.withColumn("side", F.lit(0)).unionByName(test.withColumn("side", F.lit(1))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("side").alias("sides"))
+    counted = both.agg(F.sum("n").alias("n_split"), (F.max("sides") == 1).alias("apart"))
+    tested = fitted["predictions"].agg(F.count("*").alias("tested")).crossJoin(test.agg(F.count("*").alias("held")))  # one row each
+    return counted.crossJoin(tested).select("n_split", "apart", (F.col("tested") == F.col("held")).alias("tested_enough"), F.lit(fitted["auc_roc"] > 0.5).alias("useful"))
+
+
+NEURAL_VOCABULARY = 2_000
+
+
+@query()
+def neural_text_scores(spark, sf_dir):
+    """A network over word numbers, fitted on the training rows and run in batches of numpy in the executors: (doc_id, label, score)."""
+    rows = _labelled_texts(spark, sf_dir).filter("text IS NOT NULL")
+    coded = cut(text.encode_sequences(rows, "text", text.stopwords("english"), NEURAL_VOCABULARY).select("doc_id", "label", "seq"))
+    train, test = text.hash_split(coded, "doc_id")
+    model = text.fit_mlp(text.term_vectors(train, "seq", NEURAL_VOCABULARY), NEURAL_VOCABULARY)
+    scorer = text.mlp_batch_scorer(model, NEURAL_VOCABULARY)
+    return text.batch_predict(test, "seq", "score", scorer, text.MAX_LEN).select("doc_id", "label", "score")
+
+
+@once
+def _topics(spark, sf_dir):
     rows = _labelled_texts(spark, sf_dir).filter("label = 0")
-    return text.negative_topics(rows, "text", "lang", text.stopwords("english"))[1]
+    return [cut(x) for x in text.negative_topics(rows, "text", "lang", text.stopwords("english"))]
+
+
+@query()
+def topic_summary(spark, sf_dir):
+    return _topics(spark, sf_dir)[0]
+
+
+@query()
+def negative_topics(spark, sf_dir):
+    return _topics(spark, sf_dir)[1]
+
+
+@query("""
+WITH tokens AS (SELECT lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), x -> length(x) >= 3) AS words FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text IS NOT NULL)
+SELECT lang, 1e0 AS share_sum, true AS named FROM tokens WHERE len(words) > 0 GROUP BY 1
+""")
+def topic_shares(spark, sf_dir):
+    """Of every group with words the shares of its failure modes sum to 1, and the dominant one is among them."""
+    by = _topics(spark, sf_dir)[1]
+    total = rounded(sum((F.col(f"share_{m}") for m in text.MODE_ORDER), F.lit(0.0)), 6)
+    return by.select("lang", total.alias("share_sum"), F.col("dominant_failure_mode").isin(*text.MODE_ORDER).alias("named"))
 
 
 SCORER = [0.5, -0.25, 2.0]

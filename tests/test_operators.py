@@ -113,6 +113,48 @@ def test_graph_fixture(spark, small_graph):
     assert graph.pagerank(edge).agg(F.sum("pagerank")).first()[0] == pytest.approx(9)
 
 
+def test_two_hops_go_by_the_second_weight(spark):
+    """A reaches C and D behind B; the bridge to D is the stronger one, whatever A's own link weighs."""
+    edge = graph.mirrored(spark.createDataFrame([("A", "B", 9), ("B", "C", 2), ("B", "D", 5)], "a string, b string, w long"), "a", "b", "w")
+    assert rows(graph.two_hop_backups(edge)) == [("A", 2, "D"), ("C", 2, "A"), ("D", 2, "A")]
+
+
+def test_people_with_many_sellers_are_tiled(spark):
+    bought = [(c, s) for c in range(3) for s in range(40) if (s + c) % (c + 2)]
+    lines = spark.createDataFrame([(str(c), f"s{s:02}", 1) for c, s in bought], "customer_unique_id string, seller_id string, delay_days int")
+    edge = graph.edges(lines)
+    assert rows(graph.shared_customer_motifs(edge, tile=7)) == rows(graph.shared_customer_motifs(edge))
+
+
+def test_catregion_cells_are_capped(spark):
+    cells = spark.createDataFrame([(f"s{k}", "x", "c", 9 - k) for k in range(6)], "seller_id string, seller_state string, product_category_name string, n_items long")
+    assert graph.catregion_edges(cells, cap=3).count() == 6 and graph.catregion_edges(cells).count() == 30
+
+
+def test_sellers_without_a_master_row_are_scored(spark):
+    scored = spark.createDataFrame([("a", "2020-01", 1.0, 2.0), ("b", "2020-01", 0.0, 2.0)], "seller_id string, year_week string, label double, prediction double")
+    lines = spark.createDataFrame([("a", 5), ("b", 1)], "seller_id string, delay_days int")
+    out = rows(demand.seller_demand_scores(scored, lines, spark.createDataFrame([("a", "X")], "seller_id string, seller_state string")))
+    assert out == [("a", "X", 100.0, 5.0, 1), ("b", None, 0.0, 1.0, 0)]
+
+
+def test_lags_skip_periods_without_scores(spark):
+    score = spark.createDataFrame([("a", f"p{k}", None if k == 2 else float(k * k)) for k in range(6)], "seller_id string, period string, avg_score double")
+    volume = spark.createDataFrame([("a", f"p{k}", k % 3) for k in range(6)], "seller_id string, period string, volume long")
+    got = sentiment.lead_lag_correlations(score, volume).filter("lag = 0").first()
+    assert got.n_pairs == 4
+
+
+def test_network_scorer_matches_the_model(spark):
+    rows_ = spark.createDataFrame([(k, float(k % 2), f"alpha beta w{k % 2} {'gamma ' * (k % 4)}") for k in range(40)], "doc_id long, label double, text string")
+    coded = text.encode_sequences(rows_, "text", [], 12, 8)
+    vectors = text.term_vectors(coded, "seq", 12)
+    model = text.fit_mlp(vectors, 12, 4, 20)
+    own = {r.doc_id: r.probability[1] for r in model.transform(vectors).collect()}
+    made = text.batch_predict(coded, "seq", "score", text.mlp_batch_scorer(model, 12), 8).collect()
+    assert all(r.score == pytest.approx(own[r.doc_id]) for r in made)
+
+
 def test_network_scores_fixture(spark, small_graph):
     vertex, edge = small_graph
     cat = spark.createDataFrame([("A", "B", 1), ("B", "A", 1)], "src string, dst string, weight long")
@@ -282,12 +324,12 @@ def test_registered_models_are_whole(spark, monkeypatch):
 
     data, seen = "/root/testdata/sf0.001", []
 
-    def grids(light=True, parallelism=2):
+    def grids(light=False, parallelism=2):
         seen.append(light)
         raise RuntimeError("seen")
 
     monkeypatch.setattr(forecast, "cv_estimators", grids)
-    monkeypatch.setattr(text, "negative_topics", lambda rows, of, entity, stop, **sizes: seen.append(sizes) or [None, None])
+    monkeypatch.setattr(text, "negative_topics", lambda rows, of, entity, stop, **sizes: seen.append(sizes) or [rows.limit(0)] * 2)
     for name in ("demand_forecast_scores", "regional_forecast"):
         with pytest.raises(RuntimeError, match="seen"):
             queries.QUERIES[name](spark, data)
