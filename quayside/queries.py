@@ -347,12 +347,13 @@ def demand_forecast_importances(spark, sf_dir):
 MODEL_ROWS = f"""{FEATURES}, rows AS (
   SELECT f.*, w.global_week_idx, CAST(weekly_order_count AS DOUBLE) AS label FROM features f JOIN weeks w USING (year_week)
   WHERE lag_1 IS NOT NULL AND lag_4 IS NOT NULL AND rolling_4w_mean IS NOT NULL
-), m AS (SELECT avg(label) AS mean FROM rows WHERE global_week_idx <= {SPLIT})"""
+), cut_at AS (SELECT min(global_week_idx) + CAST(round_even((max(global_week_idx) - min(global_week_idx)) * 0.8e0, 0) AS INTEGER) AS t FROM rows),
+m AS (SELECT avg(label) AS mean FROM rows, cut_at WHERE global_week_idx <= t)"""
 
 
 @query(f"""
 WITH {MODEL_ROWS}, naive AS (
-  SELECT {r('sqrt(avg((label - lag_1) * (label - lag_1)))')} AS persistence_lag1_rmse, {r('sqrt(avg((label - mean) * (label - mean)))')} AS train_mean_rmse FROM rows, m WHERE global_week_idx > {SPLIT}
+  SELECT {r('sqrt(avg((label - lag_1) * (label - lag_1)))')} AS persistence_lag1_rmse, {r('sqrt(avg((label - mean) * (label - mean)))')} AS train_mean_rmse FROM rows, m, cut_at WHERE global_week_idx > t
 )
 SELECT (SELECT count(*) FROM rows) AS n_predictions, CAST((SELECT sum(label) FROM rows) AS DOUBLE) AS sum_label, (SELECT count(DISTINCT seller_id) FROM rows) AS n_sellers,
        (SELECT {r('avg(delay_days)')} FROM lines WHERE seller_id IN (SELECT seller_id FROM rows)) AS mean_delay, 1e0 AS importance_sum, {len(demand.FEATURE_COLS)} AS n_features,
@@ -1051,7 +1052,7 @@ def negative_topics(spark, sf_dir):
 
 
 @query("""
-WITH tokens AS (SELECT lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), x -> length(x) >= 3) AS words FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text IS NOT NULL)
+WITH tokens AS (SELECT lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: length(x) >= 3) AS words FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text IS NOT NULL)
 SELECT lang, 1e0 AS share_sum, true AS named FROM tokens WHERE len(words) > 0 GROUP BY 1
 """)
 def topic_shares(spark, sf_dir):
