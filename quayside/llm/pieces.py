@@ -3,12 +3,16 @@
 A vocabulary of pieces with scores is read from a SentencePiece model file; a
 text's encoding is the segmentation with the largest sum of scores.  A space is
 part of the word that follows it, and no piece holds a space after another
-character or a line feed, so the best segmentation of a text is that of its
-words one by one.  Distinct words of a block are encoded once, all words of a
-length together: rolling hashes of every substring probe sorted piece keys of its
-length, a second hash confirms, and one vectorised maximum per position over the
-piece lengths stores the backpointers.  A character in no piece becomes byte
-pieces, so decoding gives back every text exactly.
+character or a line feed.  Nor does a piece cross a place where no piece of the
+vocabulary has such a pair of characters, as between most Han characters.  So the
+best segmentation of a text is that of the stretches between these places one by
+one, and distinct stretches of a block are encoded once.  All stretches of a
+length advance together: rolling hashes of every substring probe sorted piece keys
+of its length, a second hash confirms, and one vectorised maximum per position over
+the piece lengths stores the backpointers.  A stretch of over LONG characters, such
+as an endless word, has few of its length to advance with: its pieces are found by
+the same probes, and one pass over them alone finds the same path.  A character in
+no piece becomes byte pieces, so decoding gives back every text exactly.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SpanHash, blocks, bound_batches, mix, read_table
+from quayside.llm.common import IS_CHAR_START, SpanHash, blocks, bound_batches, mix, read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces.
@@ -30,18 +35,32 @@ UNKNOWN_PENALTY = 10.0
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+#: Characters of a stretch beyond which it goes alone.
+LONG = 64
+#: Bytes of text of a block.
+TEXT_BYTES = 1 << 20
+#: Characters of stretches that advance together.
+STEP_CHARS = 200_000
+
+
 @dataclass
 class Pieces:
-    """Pieces by length with sorted keys, their ids and scores, the byte pieces and every id's bytes."""
+    """Pieces by length with sorted keys, their ids and scores, the byte pieces, every id's bytes, and which characters follow each other in a piece."""
 
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     byte_ids: np.ndarray
     surface: list[bytes]
     unknown: float
+    kinds: np.ndarray  # of each code point, 0 for those in no piece of several characters
+    joined: np.ndarray  # whether a kind follows another
     longest: int = field(init=False)
+    flat: np.ndarray = field(init=False)
+    ends: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.longest = max(self.by_length)
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.ends = np.cumsum([len(s) for s in self.surface])
 
 
 def _keys(points: np.ndarray, base: int) -> np.ndarray:
@@ -74,7 +93,13 @@ def make_pieces(entries: list[tuple[int, str, float]], byte_ids: dict[int, int],
         ids, scores = np.array([e[0] for e in of], np.int32), np.array([e[2] for e in of], np.float64)
         by_length[n] = first[order], second[order], ids[order], scores[order]
     least = min((s for _, _, s in entries), default=0.0)
-    return Pieces(by_length, np.array([byte_ids[b] for b in range(256)], np.int32), surface, least - UNKNOWN_PENALTY)
+    chars = sorted({c for _, p, _ in entries if len(p) > 1 for c in p})
+    kinds = np.zeros(0x110000, np.uint16)
+    kinds[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    pairs = {two for _, p, _ in entries for two in zip(p, p[1:], strict=False)}
+    joined[[kinds[ord(a)] for a, _ in pairs], [kinds[ord(b)] for _, b in pairs]] = True
+    return Pieces(by_length, np.array([byte_ids[b] for b in range(256)], np.int32), surface, least - UNKNOWN_PENALTY, kinds, joined)
 
 
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -89,15 +114,11 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return make_pieces(entries, byte_ids, size)
 
 
-def _viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(length of the last piece, its id) at each end position of words of one length; id -1 is an unknown character."""
-    words, n = points.shape
+def _hits(points: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(piece length, whether a piece begins at each place, its scores, its ids) in rows of equal length."""
+    n = points.shape[1]
     value = mix(points.astype(np.uint64) + np.uint64(1))
-    rolled = [np.zeros((words, n), np.uint64) for _ in BASES]
-    best = np.full((words, n + 1), -np.inf)
-    best[:, 0] = 0
-    length, ident = np.zeros((words, n + 1), np.int32), np.full((words, n + 1), -1, np.int32)
-    score_at, id_at = {}, {}
+    rolled = [np.zeros(points.shape, np.uint64) for _ in BASES]
     for k in range(1, min(n, pieces.longest) + 1):
         with np.errstate(over="ignore"):
             for r, base in zip(rolled, BASES, strict=True):  # row i becomes the hash of the k characters from i on
@@ -109,14 +130,23 @@ def _viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray
         at = np.minimum(np.searchsorted(first, sub), len(first) - 1)
         hit = (first[at] == sub) & (second[at] == rolled[1][:, : n - k + 1])
         if hit.any():
-            score_at[k], id_at[k] = np.where(hit, scores[at], -np.inf), ids[at]
-    single = score_at.get(1)
+            yield k, hit, scores[at], ids[at]
+
+
+def _viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the last piece, its id) at each end position of stretches of one length; id -1 is an unknown character."""
+    rows, n = points.shape
+    best = np.full((rows, n + 1), -np.inf)
+    best[:, 0] = 0
+    length, ident = np.zeros((rows, n + 1), np.int32), np.full((rows, n + 1), -1, np.int32)
+    score_at, id_at = {}, {}
+    for k, hit, scores, ids in _hits(points, pieces):
+        score_at[k], id_at[k] = np.where(hit, scores, -np.inf), ids
+    single = score_at.get(1, np.full((rows, n), -np.inf))
+    lone = np.where(np.isfinite(single), single, pieces.unknown)
+    lone_id = np.where(np.isfinite(single), id_at.get(1, -1), -1)
     for end in range(1, n + 1):
-        lone = np.full(words, pieces.unknown) if single is None else np.where(np.isfinite(single[:, end - 1]), single[:, end - 1], pieces.unknown)
-        top, size = best[:, end - 1] + lone, np.ones(words, np.int32)
-        made = np.full(words, -1, np.int32)
-        if single is not None:
-            made = np.where(np.isfinite(single[:, end - 1]), id_at[1][:, end - 1], -1)
+        top, size, made = best[:, end - 1] + lone[:, end - 1], np.ones(rows, np.int32), lone_id[:, end - 1].copy()
         for k, s in score_at.items():
             if 1 < k <= end:
                 other = best[:, end - k] + s[:, end - k]
@@ -128,88 +158,159 @@ def _viterbi(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray
     return length, ident
 
 
-def encode_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words one after another, how many each has)."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    counts = np.zeros(len(words), np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, position from the end, id
-    for n in np.unique(sizes[sizes > 0]):
+def _alone(points: np.ndarray, pieces: Pieces) -> tuple[list[int], list[int]]:
+    """(starts, ids) of the pieces of one long stretch, by one pass over the pieces that it holds."""
+    n = len(points)
+    ends, sizes, scores, ids = [], [], [], []
+    for k, hit, s, i in _hits(points[None, :], pieces):
+        at = np.flatnonzero(hit[0])
+        ends.append(at + k)
+        sizes.append(np.full(len(at), k))
+        scores.append(s[0, at])
+        ids.append(i[0, at])
+    order = np.lexsort((np.concatenate(sizes), np.concatenate(ends))) if ends else np.zeros(0, np.int64)
+    listed = zip(*[np.concatenate(x)[order].tolist() for x in (ends, sizes, scores, ids)], strict=True) if ends else iter(())
+    best, length, ident = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+    end, unknown = 0, pieces.unknown
+    for e, k, s, i in [*listed, (n + 1, 0, 0.0, 0)]:
+        while end < min(e, n):
+            end += 1
+            best[end] = best[end - 1] + unknown
+        if e <= n and (best[e - k] + s > best[e] or k == 1):
+            best[e], length[e], ident[e] = best[e - k] + s, k, i
+    starts, made, end = [], [], n
+    while end:
+        made.append(ident[end])
+        end -= length[end]
+        starts.append(end)
+    return starts[::-1], made[::-1]
+
+
+def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in rows of four, how many) of code points."""
+    p = points.astype(np.int64)
+    size = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+    rest = lambda shift: 0x80 | (p >> shift & 0x3F)
+    forms = [
+        [p, 0 * p, 0 * p, 0 * p], [0xC0 | p >> 6, rest(0), 0 * p, 0 * p], [0xE0 | p >> 12, rest(6), rest(0), 0 * p], [0xF0 | p >> 18, rest(12), rest(6), rest(0)],
+    ]
+    return np.choose(size[:, None] - 1, [np.stack(f, axis=1) for f in forms]), size
+
+
+def encode_stretches(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all stretches of `points` one after another, how many each has)."""
+    probed = np.where(points == ord(SPACE), np.uint32(0x10FFFF), points)  # a literal one is in no piece
+    probed = np.where(points == 32, np.uint32(ord(SPACE)), probed)
+    of, place, ids = [], [], []  # stretch, first character, id; -1 for an unknown character
+    for n in np.unique(sizes[sizes <= LONG]):
         group = np.flatnonzero(sizes == n)
-        for a in range(0, len(group), max(1, 200_000 // int(n))):
-            of = group[a : a + max(1, 200_000 // int(n))]
-            text = "".join([words[i] for i in of]).encode("utf-32-le", "surrogatepass")
-            points = np.frombuffer(text, np.uint32).reshape(len(of), n).copy()
-            spoken = points.copy()
-            points[points == ord(SPACE)] = 0x10FFFF  # a literal one is in no piece
-            points[points == 32] = ord(SPACE)
-            length, ident = _viterbi(points, pieces)
-            end, live, turn = np.full(len(of), n), np.arange(len(of)), 0
+        step = max(1, STEP_CHARS // int(n))
+        for a in range(0, len(group), step):
+            some = group[a : a + step]
+            length, ident = _viterbi(probed[starts[some][:, None] + np.arange(n)], pieces)
+            live, end = np.arange(len(some)), np.full(len(some), n)
             while len(live):
-                made = ident[live, end[live]]
-                start = end[live] - length[live, end[live]]
-                known = made >= 0
-                parts.append((of[live[known]], np.full(known.sum(), turn), made[known]))
-                if not known.all():
-                    chars = spoken[live[~known], start[~known]]
-                    for w, c in zip(of[live[~known]].tolist(), chars.tolist(), strict=True):
-                        code = np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)[::-1]
-                        parts.append((np.full(len(code), w), turn + np.arange(len(code)), pieces.byte_ids[code]))
-                end[live] = start
-                live = live[start > 0]
-                turn += 4  # a character has four bytes at most
-    if not parts:
-        return np.zeros(0, np.int32), counts
-    word, back, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((-back, word))
-    return ids[order].astype(np.int32), np.bincount(word, minlength=len(words))[: len(words)]
+                made, size = ident[live, end], length[live, end]
+                end = end - size
+                of.append(some[live])
+                place.append(starts[some[live]] + end)
+                ids.append(made)
+                live, end = live[end > 0], end[end > 0]
+    for k in np.flatnonzero(sizes > LONG):
+        begins, made = _alone(probed[starts[k] : starts[k] + sizes[k]], pieces)
+        of.append(np.full(len(made), k))
+        place.append(starts[k] + np.array(begins))
+        ids.append(np.array(made))
+    if not of:
+        return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
+    stretch, at, made = (np.concatenate(x) for x in (of, place, ids))
+    order = np.lexsort((at, stretch))
+    stretch, at, made = stretch[order], at[order], made[order]
+    code, width = utf8(points[at])
+    width = np.where(made < 0, width, 1)
+    first = np.cumsum(width) - width
+    turn = np.arange(int(width.sum())) - np.repeat(first, width)
+    row = np.repeat(np.arange(len(made)), width)
+    out = np.where(made[row] < 0, pieces.byte_ids[code[row, turn]], made[row]).astype(np.int32)
+    return out, np.bincount(stretch, weights=width, minlength=len(sizes))[: len(sizes)].astype(np.int64)
+
+
+def led(texts: pa.Array) -> pa.Array:
+    """The texts with the space that the model puts first; a null or empty one stays as it is."""
+    full = pc.greater(pc.binary_length(texts), 0)
+    return pc.if_else(full, pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)), texts)
 
 
 def encode_texts(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, how many each text has)."""
-    all_ids, all_counts = [], []
-    led = pa.array([" " + t if t else t for t in texts.to_pylist()], pa.string())  # the prefix that the model adds
-    for block in blocks(led, 2 << 20):
+    all_ids, all_counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for block in blocks(led(texts), TEXT_BYTES):
         data, n = block.data, block.n
-        if not len(data):
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
             all_counts.append(np.zeros(n, np.int64))
             continue
-        feed, space = data == 10, data == 32
-        opens = feed.copy()
-        opens[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
-        opens[0] = True
-        edges = block.bounds[:-1]
-        opens[edges[edges < len(data)]] = True
+        at = np.append(np.flatnonzero(IS_CHAR_START[data]), len(data))  # of each character
+        kind = pieces.kinds[np.where(points == 32, np.uint32(ord(SPACE)), np.where(points == ord(SPACE), np.uint32(0x10FFFF), points))]
+        opens = np.ones(len(points), bool)
+        opens[1:] = ~pieces.joined[kind[:-1], kind[1:]]
+        edges = np.searchsorted(at, block.bounds[:-1])
+        opens[edges[edges < len(points)]] = True
         starts = np.flatnonzero(opens)
-        ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(SpanHash(data).of(starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        ids, counts = encode_words(words, pieces)
-        begin = np.concatenate([[0], np.cumsum(counts)[:-1]])[which]
+        ends = np.append(starts[1:], len(points))
+        _, first, which = np.unique(SpanHash(data).of(at[starts], at[ends]), return_index=True, return_inverse=True)
+        ids, counts = encode_stretches(points, starts[first], (ends - starts)[first], pieces)
+        begin = (np.cumsum(counts) - counts)[which]
         each = counts[which]
-        offset = np.concatenate([[0], np.cumsum(each)])
-        all_ids.append(ids[np.repeat(begin - offset[:-1], each) + np.arange(offset[-1])])
-        all_counts.append(np.bincount(block.doc_of(starts), weights=each, minlength=n)[:n].astype(np.int64))
-    return np.concatenate([np.zeros(0, np.int32), *all_ids]), np.concatenate([np.zeros(0, np.int64), *all_counts])
+        offset = np.cumsum(each) - each
+        all_ids.append(ids[np.repeat(begin - offset, each) + np.arange(int(each.sum()))])
+        doc = np.searchsorted(edges, starts, side="right") - 1
+        all_counts.append(np.bincount(doc, weights=each, minlength=n)[:n].astype(np.int64))
+    return np.concatenate(all_ids), np.concatenate(all_counts)
+
+
+def decode_bytes(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all lists of ids one after another, how many each has)."""
+    ends = pieces.ends[ids]
+    begins = np.where(ids > 0, pieces.ends[ids - 1], 0)
+    sizes = ends - begins
+    offset = np.cumsum(sizes) - sizes
+    data = pieces.flat[np.repeat(begins - offset, sizes) + np.arange(int(sizes.sum()))]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    return data, np.diff(upto[edges])
 
 
 def decode_ids(ids: list[int] | np.ndarray, pieces: Pieces) -> str:
     """The text of some ids, without the space that encoding puts first; bytes that are no UTF-8 become U+FFFD."""
-    surface = pieces.surface
-    joined = b"".join([surface[i] for i in ids])
-    return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+    data, _ = decode_bytes(np.asarray(ids, np.int64), np.array([len(ids)]), pieces)
+    whole = data.tobytes()
+    return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
+
+
+def matches(texts: pa.Array, ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether the ids of each text decode to it; a null has none."""
+    want = led(texts).fill_null("").cast(pa.large_binary())
+    bounds = np.frombuffer(want.buffers()[1], np.int64, len(want) + 1, want.offset * 8)
+    wanted = np.frombuffer(want.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    data, sizes = decode_bytes(ids, counts, pieces)
+    same = sizes == np.diff(bounds)
+    if not same.all():
+        offset = np.cumsum(sizes) - sizes
+        for k in np.flatnonzero(same):
+            same[k] = np.array_equal(data[offset[k] : offset[k] + sizes[k]], wanted[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]])
+        return same
+    wrong = np.concatenate([[0], np.cumsum(data != wanted, dtype=np.int64)])
+    return wrong[bounds[1:] - bounds[0]] == wrong[bounds[:-1] - bounds[0]]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     pieces = shared.value
     for batch in batches:
-        if not batch.num_rows:
-            continue
         texts = batch.column(1)
         ids, counts = encode_texts(texts, pieces)
+        same = matches(texts, ids, counts, pieces)
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        back = [decode_ids(ids[a:b].tolist(), pieces) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        same = [t is None or t == x for t, x in zip(texts.to_pylist(), back, strict=True)]
         null = np.asarray(texts.is_null())
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(counts), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])

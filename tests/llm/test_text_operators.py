@@ -650,21 +650,50 @@ def brute_best(text, entries, unknown):
     return best[-1]
 
 
-def test_viterbi_finds_the_best_score(vocabulary, docs):
+@pytest.mark.parametrize("long", [pieces.LONG, 3])
+def test_viterbi_finds_the_best_score(vocabulary, docs, monkeypatch, long):
+    """Also of texts with unknown characters, whose byte pieces together score as one unknown."""
     from sentencepiece import SentencePieceProcessor
 
+    monkeypatch.setattr(pieces, "LONG", long)
     model = SentencePieceProcessor(model_file=pieces.MODEL)
     entries = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
     scores = {model.piece_to_id(p): s for p, s in entries.items()}
-    texts = [t[:400] for t in list(texts_of(docs).values())[:30]] + ["  two  spaces", "漢字 mixed é", "x" * 100]
+    texts = [t[:400] for t in list(texts_of(docs).values())[:30]]
+    texts += ["  two  spaces", "漢字 mixed é", "x" * 300, "ab" * 200, "数据获取一个数据\n漢😀字▁ab	tab", "héllo▁▁ wörld𐍈", "一个" * 90]
     ids, counts = pieces.encode_texts(pa.array(texts), vocabulary)
     at = np.concatenate([[0], np.cumsum(counts)])
     for text, a, b in zip(texts, at, at[1:], strict=False):
-        plain = [c for c in text if c != "\n" and c in entries or c == " "]
-        if len(plain) != len(text):
-            continue  # unknown characters are byte pieces, which have no score
-        got = sum(scores[int(i)] for i in ids[a:b])
-        assert got == pytest.approx(brute_best("▁" + text.replace(" ", "▁"), entries, vocabulary.unknown))
+        led, got, k = " " + text, 0.0, 0
+        mine = [int(i) for i in ids[a:b]]
+        while k < len(mine):
+            if mine[k] in scores:
+                got, k = got + scores[mine[k]], k + 1
+            else:  # the byte pieces of one character
+                lead = vocabulary.surface[mine[k]][0]
+                got, k = got + vocabulary.unknown, k + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        spoken = led.replace("▁", "\U0010ffff").replace(" ", "▁")
+        assert got == pytest.approx(brute_best(spoken, entries, vocabulary.unknown))
+        assert pieces.decode_ids(mine, vocabulary) == text
+
+
+def test_unspaced_texts_are_fast(vocabulary):
+    import time
+
+    rng = random.Random(9)
+    for text in ("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(330_000)), "".join(rng.choice("abcdefghijklm") for _ in range(100_000))):
+        began = time.process_time()
+        ids, counts = pieces.encode_texts(pa.array([text]), vocabulary)
+        assert time.process_time() - began < 12 and pieces.matches(pa.array([text]), ids, counts, vocabulary).all()
+
+
+def test_lost_text_is_seen(vocabulary):
+    texts = pa.array(["one two", None, "", "three"])
+    ids, counts = pieces.encode_texts(texts, vocabulary)
+    assert pieces.matches(texts, ids, counts, vocabulary).all()
+    other = pa.array(["one too", None, "", "thre"])
+    assert pieces.matches(other, ids, counts, vocabulary).tolist() == [False, True, True, False]
+    assert pieces.matches(pa.array(["one too", None, "", "three"]), ids, counts, vocabulary).tolist() == [False, True, True, True]
 
 
 def test_round_trips(spark, vocabulary, docs):
