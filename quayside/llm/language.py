@@ -10,7 +10,8 @@ Words are padded by a space letter, and trigrams about a space are left out.
 Letters other than a to z share 101 vectors, dealt by a hash of the code point.
 Prototypes are learned from a sample of at most about `per_lang` rows of each
 language, drawn by a hash of the id; the sample is a fraction of the rows where
-a language has more, so its size does not grow with the input.
+a language has more, so its size does not grow with the input.  A model has at most
+MAX_LANGS languages, those with most rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from quayside.llm.common import blocks, bound_batches, id_hash, mix, read_table
 
 DIMENSIONS = 1024
 PER_LANG = 3000
-MAX_LANGS = 1024
+#: Languages of a model, more than have a three-letter code; of still more the ones with most rows are learned.
+MAX_LANGS = 8192
 FOLDS, HELD_OUT = 3, 1
 LETTERS = 128  # classes: the space, a to z, and 101 for the rest
 SAMPLE_GRAIN = 1_000_000
@@ -112,18 +114,17 @@ def prototypes(
     bound_batches(rows.sparkSession)
     lang = F.col(f"`{lang_col}`").cast("string")
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).filter("lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return [], np.zeros((0, dimensions))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(SAMPLE_GRAIN, per_lang * SAMPLE_GRAIN // n + 1))])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE_GRAIN)) < share[F.col("lang")])
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    share = F.least(F.lit(SAMPLE_GRAIN), F.floor(F.lit(per_lang * SAMPLE_GRAIN) / F.col("count")) + 1)
+    shares = F.broadcast(counts.select(F.col("lang").alias("known"), share.alias("share")))  # MAX_LANGS rows at most
+    drawn = rows.join(shares, F.col("lang") == F.col("known")).filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE_GRAIN)) < F.col("share"))
     parts = (
         drawn.select("lang", "text").repartition(24)
         .mapInArrow(lambda it: _bundled(it, dimensions), "lang string, v binary").collect()
     )
     langs = sorted({r["lang"] for r in parts})
+    if not langs:
+        return [], np.zeros((0, dimensions))
     made = np.zeros((len(langs), dimensions))
     for r in sorted(parts, key=lambda r: (r["lang"], bytes(r["v"]))):
         made[langs.index(r["lang"])] += np.frombuffer(r["v"], np.float64)
