@@ -13,7 +13,8 @@ than the first and second terciles has grade 2 and 3.  A column with grades of
 its own can be given instead.
 
 The model is fitted on a sample of at most about `per_class` labelled documents
-of each label, drawn by a hash of the id; both labels weigh alike.  Features that
+of each label, drawn by a hash of the id, whose texts hold at most `most_chars`
+characters; both labels weigh alike.  Features that
 fewer than MIN_DOCS of them hold, or whose shares among toxic and other documents
 differ by less than MIN_Z standard errors, have no weight.  Scoring reads whole
 texts.
@@ -29,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import IS_LETTER, LOWERED, Block, SpanHash, blocks, bound_batches, id_hash, mix, read_table
+from quayside.llm.common import IS_LETTER, LOWERED, Block, SpanHash, blocks, bound_batches, id_hash, labelled_sample, mix, read_table, text_function
 
 PER_CLASS = 4000
+MOST_CHARS = 16_000_000
 FOLDS, HELD_OUT = 5, 0
 BITS = 22
 MIN_DOCS = 4
 MIN_Z = 4.5
 PREFIXES = (4, 5, 6)
 GRADES = 4
-SAMPLE_GRAIN = 1_000_000
 MARKER_ODDS = 3.0
 
 
@@ -120,27 +121,36 @@ def fit(doc: np.ndarray, column: np.ndarray, kinds: np.ndarray, grade: np.ndarra
     n, f = len(grade), len(features)
     theta = np.concatenate([np.zeros(f), [1.0], np.full(top - 1, -1.0)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    rows = np.arange(n)
     weigh = np.where(toxic, n / (2 * n1), n / (2 * n0))
     for step in range(1, rounds + 1):
-        gaps = np.exp(theta[f + 1 :])
-        cuts = theta[f] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(doc, weights=theta[column], minlength=n)
-        above = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cuts[None, :]), np.zeros((n, 1))], axis=1)
-        slope = above * (1 - above)
-        p = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12) / weigh
-        low, high = slope[rows, grade] / p, slope[rows, grade + 1] / p
-        by_score = low - high
-        by_cut = np.bincount(grade, weights=-low, minlength=top + 2)[1 : top + 1] + np.bincount(grade + 1, weights=high, minlength=top + 2)[1 : top + 1]
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        grad = np.concatenate([np.bincount(column, weights=by_score[doc], minlength=f) - l2 * theta[:f], [tail[0]], tail[1:] * gaps])
+        _, grad = likelihood(theta, doc, column, grade, weigh, f, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     cuts = theta[f] + np.concatenate([[0], np.cumsum(np.exp(theta[f + 1 :]))])
     return Ordinal(features, theta[:f], cuts)
 
 
+def likelihood(
+    theta: np.ndarray, doc: np.ndarray, column: np.ndarray, grade: np.ndarray, weigh: np.ndarray, f: int, l2: float
+) -> tuple[float, np.ndarray]:
+    """(penalised log likelihood, its gradient): `theta` has f weights, the first threshold and the logs of the gaps to the next."""
+    n, top = len(grade), len(theta) - f
+    rows = np.arange(n)
+    gaps = np.exp(theta[f + 1 :])
+    cuts = theta[f] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(doc, weights=theta[column], minlength=n)
+    above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -60, 60)))
+    above = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    slope = above * (1 - above)
+    p = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)
+    low, high = weigh * slope[rows, grade] / p, weigh * slope[rows, grade + 1] / p
+    by_score = low - high
+    by_cut = np.bincount(grade, weights=-low, minlength=top + 2)[1 : top + 1] + np.bincount(grade + 1, weights=high, minlength=top + 2)[1 : top + 1]
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    grad = np.concatenate([np.bincount(column, weights=by_score[doc], minlength=f) - l2 * theta[:f], [tail[0]], tail[1:] * gaps])
+    return float((weigh * np.log(p)).sum() - l2 / 2 * (theta[:f] ** 2).sum()), grad
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -158,7 +168,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = PER_CLASS, graded: bool = False,
+    per_class: int = PER_CLASS, graded: bool = False, most_chars: int = MOST_CHARS,
 ) -> Ordinal:
     """A model of a bounded sample of the labelled rows that are not held out; with `graded` the labels are grades already."""
     bound_batches(docs.sparkSession)
@@ -167,16 +177,11 @@ def train(
         labels.filter((label >= 0) & (id_hash(f"`{id_col}`", FOLDS) != HELD_OUT))
         .groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(label).alias("grade"))
     )
-    toxic = F.col("grade") > 0
-    counts = known.agg(F.count(F.when(toxic, 1)).alias("toxic"), F.count(F.when(~toxic, 1)).alias("clean")).first()
-    share = lambda n: min(SAMPLE_GRAIN, per_class * SAMPLE_GRAIN // n + 1) if n else 0
-    least = F.when(toxic, share(counts["toxic"])).otherwise(share(counts["clean"]))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE_GRAIN)) < least)
-    text = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    rows = (
-        text.join(F.broadcast(drawn), F.col("doc") == F.col("id")).select("grade", "text")  # some per_class rows of a label
-        .mapInArrow(_featured, "grade int, words binary, counts binary").collect()
-    )
+    classes = known.withColumn("class", (F.col("grade") > 0).cast("int"))
+    sample, _ = labelled_sample(docs, classes.drop("grade"), id_col, text_col, per_class, most_chars, 3) if not graded else labelled_sample(
+        docs, classes.drop("class").withColumnRenamed("grade", "class"), id_col, text_col, per_class, most_chars, 3
+    )
+    rows = sample.mapInArrow(_featured, "grade int, words binary, counts binary").collect()  # of most_chars characters a class at most
     rows.sort(key=lambda r: (r["grade"], bytes(r["words"])))
     words = [np.frombuffer(r["words"], np.int32) for r in rows]
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in words])
@@ -210,22 +215,17 @@ def toxicity(
     """
     model = train(docs, labels, id_col, text_col, label_col, per_class, graded)
     held_out = F.coalesce(id_hash(f"`{id_col}`", FOLDS) == HELD_OUT, F.lit(False))
+    fields = "expected_severity double, severity int, p_toxic double, toxic boolean"
+    made = text_function(lambda texts: graded_texts(texts, model), fields, F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), made.alias("made"))
+    return rows.select("doc_id", "held_out", "made.*")
 
-    def graded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                above = np.concatenate([model.above(b) for b in blocks(batch.column(2))])
-                each = np.concatenate([np.ones((len(above), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(above), 1))], axis=1)
-                made = [above.sum(axis=1), each.argmax(axis=1).astype(np.int32), above[:, 0], above[:, 0] >= 0.5]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *map(pa.array, made)],
-                    ["doc_id", "held_out", "expected_severity", "severity", "p_toxic", "toxic"],
-                )
-
-    three = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return three.mapInArrow(
-        graded_rows, "doc_id long, held_out boolean, expected_severity double, severity int, p_toxic double, toxic boolean"
-    )
+
+def graded_texts(texts: pa.Array, model: Ordinal) -> list[pa.Array]:
+    """(expected severity, likeliest grade, probability of grade 1 or more, whether that is at least one half) of each text."""
+    above = np.concatenate([np.zeros((0, len(model.thresholds))), *[model.above(b) for b in blocks(texts)]])
+    each = np.concatenate([np.ones((len(above), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(above), 1))], axis=1)
+    return [pa.array(x) for x in (above.sum(axis=1), each.argmax(axis=1).astype(np.int32), above[:, 0], above[:, 0] >= 0.5)]
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -214,6 +214,28 @@ def test_text_vectors_are_sums_of_bound_letters():
     assert np.array_equal(language.text_vectors([text, ""], 64), np.stack([want, np.zeros(64)]))
 
 
+def test_largest_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGS", 2)
+    rows = [(i, {0: "aaa bab aba", 1: "xyx yxy xx", 2: "mnm nmn mm"}[i % 7 % 3], ["p", "q", "r"][i % 7 % 3], None) for i in range(210)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = language.identify_language(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in out} == {"p", "q"} and all(r.lang_pred == r.lang for r in out if r.lang != "r")
+
+
+def test_prediction_matches_brute_force(spark):
+    """Prototypes are sums of unit vectors of the training rows; the nearest wins."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice(("abcde", "defgh")[i % 2]) for _ in range(4)) for _ in range(6)), "xy"[i % 2]) for i in range(40)]
+    out = {r.doc_id: r for r in language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    unit = lambda v: v / np.linalg.norm(v)
+    vectors = [unit(v.astype(float)) for v in language.text_vectors([t for _, t, _ in rows])]
+    learn = [zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows]
+    made = {k: unit(sum(v for v, (_, _, lang), ok in zip(vectors, rows, learn, strict=True) if ok and lang == k)) for k in "xy"}
+    for (i, *_), v in zip(rows, vectors, strict=True):
+        cosine = {k: float(v @ p) for k, p in made.items()}
+        assert out[i].lang_pred == max(cosine, key=cosine.get) and out[i].score == pytest.approx(max(max(cosine.values()), 0), abs=1e-5)
+
+
 # --- 2: quality ---------------------------------------------------------------------
 
 
@@ -731,6 +753,74 @@ def test_thresholds_are_ordered_and_weights_shared():
     assert np.all(np.diff(model.thresholds) > 0) and len(model.weights) == len(model.features)
 
 
+def brute_features(text):
+    """Hashed words and beginnings of a text with their counts, one by one."""
+    from quayside.llm.common import SpanHash, mix
+
+    out = Counter()
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower()):
+        data = np.frombuffer(word, np.uint8)
+        of = lambda n: SpanHash(data).of(np.array([0]), np.array([n]))
+        out[int(of(len(word))[0] >> np.uint64(64 - toxicity.BITS))] += 1
+        for k in toxicity.PREFIXES:
+            if len(word) > k:
+                out[int(mix(of(k) ^ np.uint64(k))[0] >> np.uint64(64 - toxicity.BITS))] += 1
+    return out
+
+
+def test_doses_and_grades_match_brute_force():
+    texts = [f"plain words {'here' * (i % 3)} number{i % 5}" + " foulness foul" * (i % 4 if i % 2 else 0) for i in range(60)]
+    toxic = np.array([bool(i % 2 and i % 4) for i in range(60)])
+    (block,) = blocks(pa.array(texts), 10**6)
+    doc, feature, count = toxicity.word_features(block)
+    want = [brute_features(t) for t in texts]
+    got = [dict(zip(feature[doc == i].tolist(), count[doc == i].tolist(), strict=True)) for i in range(60)]
+    assert got == want
+    kinds, column = np.unique(feature, return_inverse=True)
+    in1 = Counter(k for w, t in zip(want, toxic, strict=True) if t for k in w)
+    in0 = Counter(k for w, t in zip(want, toxic, strict=True) if not t for k in w)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    marks = {k for k in in1 if in1[k] >= 4 and math.log((in1[k] + 0.5) / (n1 + 1)) - math.log((in0[k] + 0.5) / (n0 + 1)) >= 3}
+    dose = [sum(n for k, n in w.items() if k in marks) for w in want]
+    assert marks and toxicity.doses(doc, column, count, toxic).tolist() == dose
+    cuts = [sorted(d for d, t in zip(dose, toxic, strict=True) if t)[math.floor(q * (n1 - 1) / 3)] for q in (1, 2)]
+    grade = [1 + sum(d > c for c in cuts) if t else 0 for d, t in zip(dose, toxic, strict=True)]
+    assert toxicity.grades_of(doc, column, count, toxic).tolist() == grade
+
+
+def test_gradient_and_severity_match_brute_force():
+    rng = np.random.default_rng(2)
+    n, f, top = 30, 5, 3
+    held = rng.random((n, f)) < 0.5
+    doc, column = np.nonzero(held)
+    grade, weigh = rng.integers(0, top + 1, n), rng.random(n) + 0.5
+    theta = rng.normal(size=f + top) * 0.4
+
+    def brute(theta):
+        cuts = [theta[f], theta[f] + math.exp(theta[f + 1]), theta[f] + math.exp(theta[f + 1]) + math.exp(theta[f + 2])]
+        total = -0.25 * sum(w * w for w in theta[:f])
+        for i in range(n):
+            score = sum(theta[k] for k in range(f) if held[i, k])
+            above = [1.0, *[1 / (1 + math.exp(c - score)) for c in cuts], 0.0]
+            total += weigh[i] * math.log(above[grade[i]] - above[grade[i] + 1])
+        return total
+
+    value, grad = toxicity.likelihood(theta, doc, column, grade, weigh, f, 0.5)
+    assert value == pytest.approx(brute(theta))
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((brute(theta + step) - brute(theta - step)) / 2e-6, abs=1e-4)
+    texts = ["foul", "fair words", "", None, "foul foul fair"]
+    of = {w: min(brute_features(w)) for w in ("foul", "fair", "words")}
+    model = toxicity.Ordinal(np.sort([of["foul"], of["fair"]]), np.array([1.5 if k == of["foul"] else -0.5 for k in np.sort([of["foul"], of["fair"]])]), np.array([0.2, 1.0, 2.0]))
+    severity, likeliest, p_toxic, _ = (x.to_pylist() for x in toxicity.graded_texts(pa.array(texts, pa.string()), model))
+    for k, score in enumerate([1.5, -0.5, 0.0, 0.0, 1.0]):
+        above = [1 / (1 + math.exp(c - score)) for c in (0.2, 1.0, 2.0)]
+        each = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert severity[k] == pytest.approx(sum(g * q for g, q in enumerate(each))) and likeliest[k] == each.index(max(each)) and p_toxic[k] == pytest.approx(above[0])
+
+
 def test_toxicity_on_odd_rows(spark, labels):
     out = toxicity.toxicity(odd_docs(spark), labels).collect()
     assert len(out) == len(ODD) + 2 and toxicity.toxicity(odd_docs(spark, []), labels).count() == 0
