@@ -942,9 +942,9 @@ def chart_top_n(spark, sf_dir):
     return charts.top_n(star(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{o}')" for n, k, o in charts.schema_links(STAR)) + ") AS t(table_name, foreign_key, \"references\")" if charts.schema_links(STAR) else None)
+@query()
 def chart_schema(spark, sf_dir):
-    return charts.schema_edges(spark, STAR)
+    return charts.schema_edges(spark, tables.TABLES)
 
 
 @query()
