@@ -35,13 +35,13 @@ from quayside.llm.common import (
 
 #: Words of a window that counts as repeated.
 WINDOW = 8
-#: Fewest words of a repeat that keep_good() counts as covered, so that short phrases said over and over go too.
+#: Fewest words of a repeat that counts as covered, so that short phrases said over and over go too.
 SHORT = 3
 #: Fewest words of a document.
 MIN_WORDS = 20
 #: Percent of words in repeated windows that a document may hold.
 MAX_REPEAT_PERCENT = 30
-#: Percent of characters that repeats of at least WINDOW words may cover.
+#: Percent of characters that repeats of at least SHORT words may cover.
 MAX_COVERED_PERCENT = 35
 #: Words that the longest repeat may have.
 MAX_LONGEST = 100
@@ -119,17 +119,16 @@ def covered(longest: np.ndarray) -> np.ndarray:
     return reach > np.arange(n)
 
 
-def measure(block: Block, short: int | None = None) -> dict[str, np.ndarray]:
-    """Measures of each text of a block; with `short` also short_chars, the characters in repeats of so many words and more."""
+def measure(block: Block, short: int = SHORT) -> dict[str, np.ndarray]:
+    """Measures of each text of a block; covered_chars are the characters in repeats of `short` words and more."""
     data, n = block.data, block.n
     starts, ends = block.words()
     doc = block.doc_of(starts)
     spans = SpanHash(data)
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
     symbols = (mix(spans.of(starts, ends) ^ salt[doc]) >> np.uint64(1)).astype(np.int64)
-    every = longest_repeats(symbols, min(short or WINDOW, WINDOW))
-    longest = np.where(every >= WINDOW, every, 0)
-    inside = covered(longest)
+    longest = longest_repeats(symbols, min(short, WINDOW))
+    inside, near = (covered(np.where(longest >= least, longest, 0)) for least in (WINDOW, short))
     chars = np.concatenate([[0], np.cumsum(IS_CHAR_START[data], dtype=np.int64)])
     size = chars[ends] - chars[starts]
     a, b, line_doc = block.lines()
@@ -141,32 +140,28 @@ def measure(block: Block, short: int | None = None) -> dict[str, np.ndarray]:
     total = lambda x, by: np.bincount(by, weights=x, minlength=n)[:n].astype(np.int64)
     most = np.zeros(n, np.int64)
     np.maximum.at(most, doc, longest)
-    out = {
+    return {
         "n_words": count(doc),
         "word_chars": total(size, doc),
         "n_symbols": block.count(IS_SYMBOL[data]),
         "n_dup_lines": count(line_doc[full]) - count(line_doc[full][at]),
         "n_repeat_words": count(doc[inside]),
-        "covered_chars": total(size[inside], doc[inside]),
+        "covered_chars": total(size[near], doc[near]),
         "longest_repeat": most,
     }
-    if short:
-        near = covered(np.where(every >= short, every, 0))
-        out["short_chars"] = total(size[near], doc[near])
-    return out
 
 
-def measured(texts: pa.Array, short: int | None = None) -> list[pa.Array]:
+def measured(texts: pa.Array, short: int = SHORT) -> list[pa.Array]:
     """The measures of texts, in the order of MEASURES."""
     parts = [measure(b, short) for b in blocks(texts)]
-    names = [f.split()[0] for f in MEASURES.split(", ")] + ["short_chars"] * bool(short)
+    names = [f.split()[0] for f in MEASURES.split(", ")]
     return [pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]), pa.int64()) for k in names]
 
 
-def measures(df: DataFrame, text_col: str = "text", short: int | None = None) -> F.Column:
+def measures(df: DataFrame, text_col: str = "text", short: int = SHORT) -> F.Column:
     """A struct of the measures of each text of `df`."""
     bound_batches(df.sparkSession)
-    return text_function(lambda texts: measured(texts, short), MEASURES + ", short_chars long" * bool(short), F.col(f"`{text_col}`"))
+    return text_function(lambda texts: measured(texts, short), MEASURES, F.col(f"`{text_col}`"))
 
 
 def verdict(
@@ -182,34 +177,31 @@ def verdict(
     return failed, ~failed & fine
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, **limits: int) -> DataFrame:
     """One row per row of `df` with the base measures, base_failed and kept.
 
+    The base rule counts windows of WINDOW words; the verdict goes by all maximal
+    repeats of `short` words and more and by the longest repeat.
     A null or empty text has no words, so it fails.  Repeated rows are judged each
     on its own; a null id stays null; an empty table gives no rows.  Other columns
     are not read.
     """
     of = F.col("of")
     failed, kept = verdict(of, **limits)
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), measures(df, text_col).alias("of")).select(
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), measures(df, text_col, short).alias("of")).select(
         "doc_id", *[of[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"), kept.alias("kept"), of["covered_chars"].alias("covered_chars"), of["longest_repeat"].alias("longest_repeat"),
     )
 
 
 def keep_good(df: DataFrame, text_col: str = "text", short: int = SHORT, **limits: int) -> DataFrame:
-    """The rows of `df` whose text passes, with the columns that `df` has.
+    """The rows of `df` whose text passes quality_rules(), with the columns that `df` has.
 
-    Stricter than `kept` of quality_rules(), whose SQL counts windows of WINDOW words:
-    repeats from `short` words on may not cover more than max_covered_percent either.
     A null or empty text goes, as it has too few words.  Equal rows stay or go together,
     an empty table stays empty, and columns of any other names pass through.
     """
-    of = F.col("\x00of")
-    _, kept = verdict(of, **limits)
-    most = limits.get("max_covered_percent", MAX_COVERED_PERCENT)
-    fine = 100 * of["short_chars"] <= most * of["word_chars"]
-    return df.withColumn("\x00of", measures(df, text_col, short)).filter(kept & fine).select(*[F.col(f"`{c}`") for c in df.columns])
+    _, kept = verdict(F.col("\x00of"), **limits)
+    return df.withColumn("\x00of", measures(df, text_col, short)).filter(kept).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -227,20 +219,23 @@ WITH d AS (
 ), word AS (
   SELECT r, i, w[i] AS word,
          CASE WHEN i + {WINDOW - 1} <= len(w) THEN hash(w[i:i + {WINDOW - 1}]) END AS g8,
+         CASE WHEN i + {SHORT - 1} <= len(w) THEN hash(w[i:i + {SHORT - 1}]) END AS g_short,
          CASE WHEN i + {MAX_LONGEST} <= len(w) THEN hash(w[i:i + {MAX_LONGEST}]) END AS g_long
   FROM pos
 ), tied AS (
   SELECT r, i, length(word) AS size,
          CASE WHEN g8 IS NOT NULL AND count(*) OVER (PARTITION BY r, g8) > 1 THEN i END AS hit,
+         CASE WHEN g_short IS NOT NULL AND count(*) OVER (PARTITION BY r, g_short) > 1 THEN i END AS short_hit,
          CASE WHEN g_long IS NOT NULL AND count(*) OVER (PARTITION BY r, g_long) > 1 THEN 1 ELSE 0 END AS too_long
   FROM word
 ), spread AS (
   SELECT r, size, too_long,
-         max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS inside
+         max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS inside,
+         max(short_hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {SHORT - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS near
   FROM tied
 ), m AS (
   SELECT r, count(*) AS n_words, sum(size) AS word_chars, count(*) FILTER (inside) AS n_repeat_words,
-         coalesce(sum(size) FILTER (inside), 0) AS covered_chars, max(too_long) AS too_long
+         coalesce(sum(size) FILTER (near), 0) AS covered_chars, max(too_long) AS too_long
   FROM spread GROUP BY r
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d

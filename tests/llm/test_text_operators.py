@@ -47,14 +47,19 @@ def texts_of(docs):
 # --- 3: rules ---------------------------------------------------------------------
 
 
-def brute_rules(text):
-    words = WORD.findall(text or "")
-    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    count, inside = Counter(windows), [False] * len(words)
+def brute_inside(words, n):
+    """Flags the words in windows of n words found twice or more."""
+    windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    count, flags = Counter(windows), [False] * len(words)
     for i, w in enumerate(windows):
         if count[w] > 1:
-            inside[i : i + 8] = [True] * 8
-    longest = 0
+            flags[i : i + n] = [True] * n
+    return flags
+
+
+def brute_rules(text):
+    words = WORD.findall(text or "")
+    inside, near, longest = brute_inside(words, 8), brute_inside(words, 3), 0
     for i in range(len(words)):
         for j in range(i):
             k = 0
@@ -62,8 +67,8 @@ def brute_rules(text):
                 k += 1
             longest = max(longest, k)
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    covered = sum(len(w) for w, f in zip(words, inside) if f)
-    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(inside), covered, longest if longest >= 8 else 0
+    covered = sum(len(w) for w, f in zip(words, near, strict=True) if f)
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(inside), covered, longest if longest >= 3 else 0
 
 
 def test_repetition_matches_brute_force():
@@ -91,8 +96,9 @@ def test_short_repeats_go(spark):
     kept = repetition.keep_good(odd_docs(spark, [said, once]))
     assert {r.doc_id for r in kept.collect()} == {1}
     block = next(iter(blocks(pa.array([said, once], pa.string()))))
-    made = repetition.measure(block, 3)
-    assert made["short_chars"].tolist() == [len(said.replace(" ", "")), 12] and made["covered_chars"].tolist() == [0, 0]
+    made = repetition.measure(block)
+    assert made["covered_chars"].tolist() == [len(said.replace(" ", "")), len("w1w2w3") * 2] and made["n_repeat_words"].tolist() == [0, 0]
+    assert [(r.base_failed, r.kept) for r in repetition.quality_rules(odd_docs(spark, [said, once])).orderBy("doc_id").collect() if r.doc_id in (0, 1)][:2] == [(False, False), (False, True)]
 
 
 # --- 8: near-duplicates -------------------------------------------------------------
@@ -906,18 +912,8 @@ def test_pipeline_stages_match_their_parts(spark):
 def brute_base(text):
     """The verdict of the rules, by windows: a repeat longer than the limit is a repeated window of one word more."""
     words = WORD.findall(text or "")
-
-    def inside(n):
-        windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-        count, flags = Counter(windows), [False] * len(words)
-        for i, w in enumerate(windows):
-            if count[w] > 1:
-                flags[i : i + n] = [True] * n
-        return flags
-
-    near = inside(8)
-    covered = sum(len(w) for w, f in zip(words, near, strict=True) if f)
+    covered = sum(len(w) for w, f in zip(words, brute_inside(words, 3), strict=True) if f)
     return (
-        len(words) >= 20 and 100 * sum(near) <= 30 * len(words) and 100 * covered <= repetition.MAX_COVERED_PERCENT * sum(map(len, words))
-        and not any(inside(repetition.MAX_LONGEST + 1))
+        len(words) >= 20 and 100 * sum(brute_inside(words, 8)) <= 30 * len(words) and 100 * covered <= repetition.MAX_COVERED_PERCENT * sum(map(len, words))
+        and not any(brute_inside(words, repetition.MAX_LONGEST + 1))
     )
