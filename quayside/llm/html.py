@@ -6,10 +6,11 @@ of its host is the site's template and goes.  Where a good part of what stands i
 slot of a host, a path of tags and classes, are templates, the rest of the slot goes
 too: a menu or an advert that only a few pages have is no less the site's.
 
-A host of LARGE_HOST pages and more shows its templates by itself, so its text is
-all that is left of the body.  On smaller hosts little recurs; there the article, or
-else the main element, or the body is taken, and subtrees that are menus, adverts and
-the like by their tag, role or class go as well.
+Of what is left the articles are taken, or else the main element, or the body, and
+subtrees that are menus, adverts and the like by their tag, role or class go as well,
+on hosts of any size.  A class that tells of a state (`has-sidebar`, `menu-open`) names
+nothing, code inside `pre` has no listed classes, and where a page would be left
+without its article, or without most of its prose, the listed wrapper of it stays.
 
 Paragraphs, headings and other prose blocks of an article are never templates,
 as an article may well quote what another one says; containers inside an article
@@ -32,19 +33,15 @@ from quayside.llm.common import bound_batches, cut, read_table
 
 #: A subtree is a template from so many distinct pages of its host on.
 MIN_PAGES = 5
-#: A host shows its templates from so many distinct pages on.
-LARGE_HOST = 200
 #: Share of a slot's subtrees that are templates from which on the whole slot goes.
 SLOT_SHARE = 0.2
-#: Parts that a large host's mark is dealt to where it is joined.
-PARTS = 64
 #: Bytes of templates that may be broadcast; beyond, the pages' subtrees are joined with them.
 BROADCAST_BYTES = 16 << 20
 
 # --- fixed sets of names ------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp".split())
-UNSHOWN = frozenset("head button select canvas audio video".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe template svg object xmp".split())
+UNSHOWN = frozenset("head button select canvas audio video".split()) | RAW - {"xmp"}
 GONE = frozenset("nav footer aside form dialog menu".split()) | UNSHOWN
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -61,6 +58,9 @@ GONE_WORDS = frozenset(
     "disqus respond toolbar pagination pager".split()
 )
 HEADER_WORDS = frozenset(["header"])
+WRAPPER_WORDS = frozenset("nav navbar navigation menu sidebar header banner masthead footer widget toolbar modal overlay popup share sharing social".split())
+ARTICLES = frozenset(["article", "main"])
+RUNNING = frozenset("p blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -70,17 +70,19 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_STATE = re.compile(r"(?:^|\s)(?:(?:has|is|with|without)-\S+|\S+-(?:open|opened|closed|enabled|disabled|active|expanded|collapsed))(?=\s|$)")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash", "slot", "gone", "unshown", "rooted", "holds")
+    __slots__ = ("tag", "attrs", "children", "hash", "slot", "gone", "unshown", "rooted", "holds", "coded", "words", "size", "prose", "article")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.hash = self.slot = 0
-        self.gone = self.unshown = self.rooted = self.holds = False
+        self.hash = self.slot = self.size = self.prose = 0
+        self.gone = self.unshown = self.rooted = self.holds = self.coded = self.article = False
+        self.words: set[str] = set()
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -134,6 +136,8 @@ def parse(source: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+            if tag == "xmp":  # shown as it stands
+                node.children.append(source[at : close.start() if close else end])
             at = close.end() if close else end
         elif tag not in VOID and not raw.endswith("/"):
             stack.append(node)
@@ -151,7 +155,7 @@ def _close(stack: list[Node], tags: set[str], within: set[str]) -> None:
 
 def _words(node: Node) -> set[str]:
     named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return set(_SPLIT.split(_CAMEL.sub("-", named).lower())) if named != " " else set()
+    return set(_SPLIT.split(_STATE.sub(" ", _CAMEL.sub("-", named).lower()))) if named != " " else set()
 
 
 def mark(root: Node) -> None:
@@ -162,33 +166,60 @@ def mark(root: Node) -> None:
     while todo:  # no recursion: pages nest as deep as they like
         node = todo.pop()
         order.append(node)
-        inside = node.rooted or node.tag in ("article", "main")
+        inside = node.rooted or node.tag in ARTICLES
         if node.tag in GONE or node.attrs.get("role", "").lower() in GONE_ROLES or "hidden" in node.attrs:
             node.gone = node is not root
-        elif node.attrs and node.tag not in ("html", "body", "main"):
-            words = _words(node)
-            node.gone = bool(words & GONE_WORDS) or (not node.rooted and node.tag != "article" and bool(words & HEADER_WORDS))
+        elif node.attrs and not node.coded and node.tag not in ("html", "body", "main"):
+            node.words = _words(node) & (GONE_WORDS if node.rooted or node.tag == "article" else GONE_WORDS | HEADER_WORDS)
+            node.gone = bool(node.words)
         if node.tag == "header" and not node.rooted:
             node.gone = True
         node.unshown = node is not root and (node.tag in UNSHOWN or "hidden" in node.attrs)
         for c in node.children:
             if isinstance(c, Node):
-                c.rooted = inside
+                c.rooted, c.coded = inside, node.coded or node.tag == "pre"
                 c.slot = xxhash.xxh64_intdigest(f"{node.slot:x}/{c.tag}.{c.attrs.get('class', '')}") - (1 << 63)
                 todo.append(c)
     for node in reversed(order):
         if node.tag == "header" and node.rooted and not any(isinstance(c, Node) and (c.tag in HEADINGS) for c in node.children):
             node.gone = True
         node.holds = any(isinstance(c, Node) and (c.holds or c.tag in KEPT) for c in node.children)
+        node.article = any(isinstance(c, Node) and (c.article or c.tag in ARTICLES and not c.gone) for c in node.children)
+        if not node.unshown:
+            node.size = sum(len(c) - c.count(" ") if isinstance(c, str) else c.size for c in node.children)
+            node.prose = node.size if node.tag in RUNNING else sum(c.prose for c in node.children if isinstance(c, Node))
         parts = [node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")]
         for c in node.children:
             parts.append(format(c.hash, "x") if isinstance(c, Node) else " ".join(c.split()))
         node.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+    _spare_wrappers(root)
+
+
+def _spare_wrappers(root: Node) -> None:
+    """Unlist the wrappers of a page's article, or without one of most of its prose, that the lists took by mistake."""
+    while True:
+        outer, found, todo = [], False, [root]
+        while todo:
+            node = todo.pop()
+            if node.gone:
+                outer += [] if node.unshown else [node]
+            elif node.tag in ARTICLES:
+                found = True
+            else:
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        around = [n for n in outer if n.article]
+        if found or not (around or not root.article):
+            return
+        if not around:
+            around = [n for n in outer if n.words and n.words <= WRAPPER_WORDS and n.prose * 2 > root.size]
+        if not around:
+            return
+        max(around, key=lambda n: n.prose).gone = False
 
 
 def articles(root: Node) -> list[Node]:
     """The outermost articles that no list takes, else main elements, else the whole."""
-    for tag in ("article", "main"):
+    for tag in sorted(ARTICLES):
         found, todo = [], [root]
         while todo:
             node = todo.pop()
@@ -222,11 +253,10 @@ def candidates(source: str) -> set[tuple[int, int]]:
 
 
 class Site(NamedTuple):
-    """What a host's pages tell: template hashes, slots that go, and whether the pages are many."""
+    """What a host's pages tell: template hashes, and slots that go."""
 
     templates: frozenset[int] = frozenset()
     slots: frozenset[int] = frozenset()
-    large: bool = False
 
     def takes(self, node: Node) -> bool:
         return (node.hash in self.templates or node.slot in self.slots) and _deletable(node)
@@ -242,15 +272,15 @@ def removals(source: str, site: Site = Site()) -> tuple[int, int, int]:
         if node.unshown:
             continue
         template = node is not root and site.takes(node)
-        if template or (node.gone and not site.large):
+        if template or node.gone:
             both, only, listed = both + (template and node.gone), only + (template and not node.gone), listed + (not template)
         else:
             todo += [c for c in node.children if isinstance(c, Node)]
     return both, only, listed
 
 
-def main_text(source: str, site: Site = Site()) -> str:
-    """The text that is left, a line for each block."""
+def main_text(source: str, site: Site = Site(), lists: bool = True) -> str:
+    """The text that is left, a line for each block; without `lists` what the site's rules alone leave of the body."""
     root = parse(source)
     mark(root)
     done: list[str] = []
@@ -262,7 +292,7 @@ def main_text(source: str, site: Site = Site()) -> str:
         if line:
             done.append(line)
 
-    for top in [root] if site.large else articles(root):
+    for top in articles(root) if lists else [root]:
         todo: list = [top]
         while todo:
             item = todo.pop()
@@ -272,7 +302,7 @@ def main_text(source: str, site: Site = Site()) -> str:
                 open_.append(item)
             elif item.tag == "br":
                 open_.append(" ")
-            elif item is top or not (site.takes(item) or (item.unshown if site.large else item.gone)):
+            elif item is top or not (site.takes(item) or (item.gone if lists else item.unshown)):
                 if item.tag in BLOCK:
                     flush()
                     todo.append(None)
@@ -311,25 +341,22 @@ def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 
 #: Kinds of site_rules().
-TEMPLATE, SLOT, LARGE = 0, 1, 2
+TEMPLATE, SLOT = 0, 1
 
 
-def site_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, large_host: int = LARGE_HOST) -> DataFrame:
-    """(host, kind, value): hashes of subtrees that recur on min_pages distinct pages of a host, however many it has, slots
-    of which a share of SLOT_SHARE and more do, and PARTS marks of each host with many pages."""
+def site_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, kind, value): hashes of subtrees that recur on min_pages distinct pages of a host, however many it has, and
+    slots of which a share of SLOT_SHARE and more do."""
     counts = cut(subtrees(pages, url_col, html_col).groupBy("host", "slot", "hash").count())
     often = F.col("count") >= min_pages
     templates = counts.filter(often).select("host", F.lit(TEMPLATE).alias("kind"), F.col("hash").alias("value")).distinct()
     share = F.sum(F.when(often, F.col("count")).otherwise(0)) / F.sum("count")
     slots = counts.groupBy("host", "slot").agg(share.alias("share")).filter(F.col("share") >= SLOT_SHARE).select("host", F.lit(SLOT).alias("kind"), F.col("slot").alias("value"))
-    sizes = _named(pages, url_col, html_col).select("host", "page").distinct().groupBy("host").count().filter(F.col("count") >= large_host)
-    large = sizes.select("host", F.lit(LARGE).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("value"))
-    return templates.unionByName(slots).unionByName(large)
+    return templates.unionByName(slots)
 
 
 def site_of(rules: list[tuple[int, int]]) -> Site:
-    by = {kind: frozenset(v for k, v in rules if k == kind) for kind in (TEMPLATE, SLOT, LARGE)}
-    return Site(by[TEMPLATE], by[SLOT], bool(by[LARGE]))
+    return Site(*(frozenset(v for k, v in rules if k == kind) for kind in (TEMPLATE, SLOT)))
 
 
 def by_host(rules: DataFrame) -> dict[str, Site]:
@@ -353,7 +380,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], sites: dict[str, Site] | None)
 
 
 def extract_main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, large_host: int = LARGE_HOST
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of `pages`.
 
@@ -362,7 +389,7 @@ def extract_main_text(
     rows repeat, an empty table gives no rows, and other columns are not read.
     """
     bound_batches(pages.sparkSession)
-    rules = cut(site_rules(pages, url_col, html_col, min_pages, large_host))
+    rules = cut(site_rules(pages, url_col, html_col, min_pages))
     size = rules.agg(F.sum(F.length("host") + 16)).first()[0] or 0
     source = F.col(f"`{html_col}`")
     rows = pages.select(
@@ -379,8 +406,7 @@ def extract_main_text(
     trees = subtrees(pages, url_col, html_col)
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"))
     own = trees.select("host", "page", F.explode(F.array(pair(TEMPLATE, "hash"), pair(SLOT, "slot"))).alias("r")).select("host", "page", "r.*").distinct()
-    marks = _named(pages, url_col, html_col).select("host", "page", F.lit(LARGE).alias("kind"), F.pmod("page", F.lit(PARTS)).alias("value")).distinct()
-    met = own.unionByName(marks).join(rules, ["host", "kind", "value"])  # Spark splits the partitions of slots that many pages have
+    met = own.join(rules, ["host", "kind", "value"])  # Spark splits the partitions of slots that many pages have
     of_page = met.groupBy("host", "page").agg(F.collect_set(F.struct("kind", "value")).alias("rules"))
     joined = rows.join(of_page, ["host", "page"], "left").select("page_id", "url", "html", "rules")
     return joined.mapInArrow(lambda it: _extracted(it, None), made)
