@@ -218,7 +218,7 @@ def run_starts(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(
-    docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int, most_chars: int, seed: int
+    docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int, most_chars: int, seed: int, line_chars: int = 0
 ) -> tuple[DataFrame, dict[int, float]]:
     """(class, text) of a bounded sample, and how many labelled ids one drawn id of each class stands for.
 
@@ -226,6 +226,7 @@ def labelled_sample(
     `per_class` ids are drawn by a hash, and of their rows, equal ones once, so many
     parts by a hash of the row that their texts hold at most `most_chars` characters,
     whatever the ids' rows are; texts of over a fiftieth of that are not learned from.
+    A line counts for at least `line_chars` characters.
     """
     counts = {r["class"]: r["count"] for r in known.groupBy("class").count().collect()}
     shares = {k: min(SAMPLE_GRAIN, per_class * SAMPLE_GRAIN // n + 1) for k, n in counts.items()}
@@ -234,8 +235,10 @@ def labelled_sample(
         least = F.when(F.col("class") == k, share).otherwise(least)
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SAMPLE_GRAIN)) < least)
     text = F.col(f"`{text_col}`")
+    known_text = F.coalesce(text, F.lit(""))
+    lines = F.length(known_text) - F.length(F.replace(known_text, F.lit("\n"), F.lit(""))) + 1 if line_chars else F.lit(0)
     rows = (
-        docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.length(F.coalesce(text, F.lit(""))).alias("chars"))
+        docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.greatest(F.length(known_text), lines * line_chars).alias("chars"))
         .filter(F.col("chars") <= most_chars // 50)
         .join(F.broadcast(drawn), F.col("doc") == F.col("id"))  # some per_class rows of a class
         .withColumn("key", F.xxhash64(F.lit(seed), "id", "text"))

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import blocks, bound_batches, id_hash, mix, read_table
+from quayside.llm.common import blocks, bound_batches, cut, id_hash, mix, read_table
 
 DIMENSIONS = 1024
 PER_LANG = 3000
-#: Languages of a model, more than have a three-letter code; of still more the ones with most rows are learned.
-MAX_LANGS = 8192
+#: Languages that one pass compares with, 4 MB of prototypes; of more languages there are more passes.
+PASS_LANGS = 1024
 FOLDS, HELD_OUT = 3, 1
 LETTERS = 128  # classes: the space, a to z, and 101 for the rest
 SAMPLE_GRAIN = 1_000_000
@@ -107,32 +107,38 @@ def _bundled(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.
         )
 
 
-def prototypes(
-    rows: DataFrame, id_col: str, text_col: str, lang_col: str, dimensions: int = DIMENSIONS, per_lang: int = PER_LANG
-) -> tuple[list[str], np.ndarray]:
-    """Languages in order of code points, and their unit prototypes."""
+def _added(t: pa.Table) -> pa.Table:
+    """The sum of one language's partial bundles, in the order of their bytes, so that reruns agree."""
+    parts = sorted(t.column("v").to_pylist())
+    return pa.table({"lang": t.column("lang").slice(0, 1), "v": pa.array([sum(np.frombuffer(v) for v in parts).tobytes()], pa.binary())})
+
+
+def prototypes(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """Languages in order of code points, and their unit prototypes, of `rows` with lang and text."""
     bound_batches(rows.sparkSession)
+    bundles = rows.select("lang", "text").repartition(24).mapInArrow(lambda it: _bundled(it, dimensions), "lang string, v binary")
+    made = {r["lang"]: np.frombuffer(r["v"]) for r in bundles.groupBy("lang").applyInArrow(_added, "lang string, v binary").collect()}  # about PASS_LANGS rows
+    langs = sorted(made)
+    return langs, _unit(np.array([made[x] for x in langs]).reshape(len(langs), dimensions))
+
+
+def learned_rows(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[DataFrame, int]:
+    """(lang, text, pass) of about `per_lang` rows of each language, drawn by a hash of the id, and how many passes the languages take."""
     lang = F.col(f"`{lang_col}`").cast("string")
-    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).filter("lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    known = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).filter("lang IS NOT NULL")
+    counts = cut(known.groupBy("lang").count())
+    n = counts.count()
     share = F.least(F.lit(SAMPLE_GRAIN), F.floor(F.lit(per_lang * SAMPLE_GRAIN) / F.col("count")) + 1)
-    shares = F.broadcast(counts.select(F.col("lang").alias("known"), share.alias("share")))  # MAX_LANGS rows at most
-    drawn = rows.join(shares, F.col("lang") == F.col("known")).filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE_GRAIN)) < F.col("share"))
-    parts = (
-        drawn.select("lang", "text").repartition(24)
-        .mapInArrow(lambda it: _bundled(it, dimensions), "lang string, v binary").collect()
-    )
-    langs = sorted({r["lang"] for r in parts})
-    if not langs:
-        return [], np.zeros((0, dimensions))
-    made = np.zeros((len(langs), dimensions))
-    for r in sorted(parts, key=lambda r: (r["lang"], bytes(r["v"]))):
-        made[langs.index(r["lang"])] += np.frombuffer(r["v"], np.float64)
-    return langs, _unit(made)
-
-
-def _predicted(batches, langs: list[str], profile: np.ndarray) -> Iterator[pa.RecordBatch]:
-    profile = profile.astype(np.float32)
+    shares = counts.select(F.col("lang").alias("known"), share.alias("share"))
+    shares = F.broadcast(shares) if n <= PASS_LANGS else shares
+    drawn = known.join(shares, F.col("lang") == F.col("known")).filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE_GRAIN)) < F.col("share"))
+    passes = max(1, -(-n // PASS_LANGS))
+    return drawn.select("lang", "text", F.pmod(F.xxhash64("lang"), F.lit(passes)).alias("pass")), passes
+
+
+def _predicted(batches, model, last: bool) -> Iterator[pa.RecordBatch]:
+    """The better of what a row has and the best of the model's languages; of equal cosines the first by code points.  The last pass drops the text."""
+    langs, profile = model.value
     for batch in batches:
         pred: list[str] = []
         score: list[np.ndarray] = []
@@ -143,11 +149,14 @@ def _predicted(batches, langs: list[str], profile: np.ndarray) -> Iterator[pa.Re
             cosine = _unit(vectors) @ profile.T if langs else np.zeros((len(texts), 1))
             best = cosine.argmax(axis=1)
             pred += [langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-            score.append(np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0))
+            score.append(np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64))
         if batch.num_rows:
+            scores = np.concatenate(score)
+            before = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), pred, scores.tolist(), strict=True)
+            chosen = [(p, s) if q == "und" or (p != "und" and (-s, p) < (-t, q)) else (q, t) for p, s, q, t in before]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.concatenate(score).astype(np.float64))],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [*batch.columns[:2], pa.nulls(batch.num_rows, pa.string()) if last else batch.column(2), pa.array([c[0] for c in chosen], pa.string()), pa.array([c[1] for c in chosen], pa.float64())],
+                ["doc_id", "held_out", "text", "lang_pred", "score"],
             )
 
 
@@ -170,11 +179,15 @@ def identify_language(
     bound_batches(df.sparkSession)
     held_out = F.coalesce(id_hash(f"`{id_col}`", FOLDS) == HELD_OUT, F.lit(False))
     learn = df.filter(id_hash(f"`{id_col}`", FOLDS) != HELD_OUT)
-    langs, profile = prototypes(learn, id_col, text_col, lang_col, dimensions, per_lang)
-    three = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return three.mapInArrow(
-        lambda it: _predicted(it, langs, profile), "doc_id long, held_out boolean, lang_pred string, score double"
+    learned, passes = learned_rows(learn, id_col, text_col, lang_col, per_lang)
+    out = df.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")
     )
+    for p in range(passes):  # the prototypes of a pass are broadcast, and each row keeps the best so far
+        langs, profile = prototypes(learned.filter(F.col("pass") == p), dimensions)
+        model = df.sparkSession.sparkContext.broadcast((langs, profile.astype(np.float32)))
+        out = out.mapInArrow(lambda it, model=model, last=p == passes - 1: _predicted(it, model, last), "doc_id long, held_out boolean, text string, lang_pred string, score double")
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

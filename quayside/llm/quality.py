@@ -53,6 +53,8 @@ from quayside.llm.common import (
 
 PER_CLASS = 4000
 MOST_CHARS = 16_000_000
+#: Characters that a line of the sample counts for at least, so that it holds 80,000 lines a class at most.
+LINE_CHARS = 200
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 N_OWN = 15
@@ -355,7 +357,7 @@ def train(
         labels.filter(label.isin(0, 1) & (id_hash(f"`{id_col}`", FOLDS) != HELD_OUT))
         .groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(label).alias("class"))
     )
-    sample, weights = labelled_sample(docs, known, id_col, text_col, per_class, most_chars, 2)
+    sample, weights = labelled_sample(docs, known, id_col, text_col, per_class, most_chars, 2, LINE_CHARS)
     rows = sample.mapInArrow(_trained, "label int, x binary, size binary").collect()  # of most_chars characters a class at most
     if {r["label"] for r in rows} != {0, 1}:
         return None
