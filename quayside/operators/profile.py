@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.operators.ranks import running_total
+from quayside.plans.lineage import cut
 from quayside.sources.tables import Table
 
 
@@ -76,11 +78,15 @@ def geolocation_centroids(geo: DataFrame, key: str = "geolocation_zip_code_prefi
 
 
 def quantiles(df: DataFrame, col: str, probabilities: list[float], relative_error: float = 0.01) -> list[float]:
-    """Quantiles on the driver; 0 is exact, from counts of distinct values that executors add up."""
+    """Quantiles on the driver; 0 is exact, from running totals of the counts of distinct values, which ranges of values sort apart."""
     if relative_error > 0:
         return df.approxQuantile(col, probabilities, relative_error)
-    named = ", ".join(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY `{col}`)" for p in probabilities)
-    return list(df.selectExpr(f"array({named}) AS q").first()["q"])
+    counts = cut(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(probabilities)
+    reached = running_total(counts, "v", "n", "upto")
+    return list(reached.agg(*[F.min(F.when(F.col("upto") >= F.lit(p * total), F.col("v"))).alias(str(i)) for i, p in enumerate(probabilities)]).first())
 
 
 def winsorize(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99, relative_error: float = 0.01) -> tuple[DataFrame, float, float, int]:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.ml import Pipeline
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StopWordsRemover, Tokenizer
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quayside.operators.ranks import running_total
 from quayside.plans.lineage import cut
 
 # --- fixed values: Portuguese words that say nothing of a failure, and those that name one
@@ -37,6 +40,8 @@ FAILURE_KEYWORDS_PT = {
 #: Ties between a seller's shares go to the later mode.
 MODE_ORDER = ["late_or_not_delivered", "product_quality", "wrong_or_incomplete", "other"]
 MAX_LEN, VOCAB, PAD, UNK = 128, 20_000, 0, 1
+#: Models that are fitted at a time.
+PARALLEL = 6
 
 
 def hash_split(df: DataFrame, key: str, train_tenths: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -64,15 +69,19 @@ def fit_nlp(labelled: DataFrame, text: str, key: str, language: str = "portugues
     """Cross-validated text classifier with areas under both curves on the held-out tenths."""
     rows = labelled.filter(F.col(text).isNotNull()).withColumn("text_lower", F.lower(text)).withColumn("label", F.col("label").cast("double"))
     train, test = hash_split(rows, key)
-    pipeline = nlp_pipeline(language=language, features=features)
-    lr = pipeline.getStages()[-1]
+    stages = nlp_pipeline(language=language, features=features).getStages()
+    hashing = Pipeline(stages=stages[:3]).fit(rows)  # words, stop words and hashing learn nothing: they are made once, not in every fit
+    keep = [c for c in rows.columns if c != "text_lower"]
+    train, test = (cut(hashing.transform(side).select(*keep, "tf")) for side in (train, test))
+    idf, lr = stages[3:]
     reg, net = ([0.01, 0.1], [0.0]) if light else ([0.0, 0.01, 0.1], [0.0, 0.5])
     grid = ParamGridBuilder().addGrid(lr.regParam, reg).addGrid(lr.elasticNetParam, net).build()
     area = lambda metric: BinaryClassificationEvaluator(labelCol="label", metricName=metric)
-    model = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=area("areaUnderROC"), numFolds=2 if light else 3, parallelism=2, seed=5067).fit(train)
-    predictions = model.transform(test)
+    search = CrossValidator(estimator=Pipeline(stages=[idf, lr]), estimatorParamMaps=grid, evaluator=area("areaUnderROC"), numFolds=2 if light else 3, parallelism=PARALLEL, seed=5067)
+    fitted = search.fit(train)
+    predictions = fitted.transform(test)
     return {
-        "model": model.bestModel, "predictions": predictions, "cv_metrics": list(model.avgMetrics),
+        "model": PipelineModel([*hashing.stages, *fitted.bestModel.stages]), "predictions": predictions, "cv_metrics": list(fitted.avgMetrics),
         "auc_roc": area("areaUnderROC").evaluate(predictions), "auc_pr": area("areaUnderPR").evaluate(predictions),
     }
 
@@ -84,6 +93,14 @@ def class_report(predictions: DataFrame) -> DataFrame:
     return by("label").join(by("prediction"), "class", "full_outer").withColumnRenamed("class", "label")
 
 
+def area_under_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """(auc_roc, n) in one row: how often a positive row scores over a negative one, ties half; null without both classes."""
+    counts = scored.groupBy(F.col(score).alias("v")).agg(F.sum(label).alias("positive"), F.count("*").alias("n"))
+    below = running_total(cut(counts.withColumn("negative", F.col("n") - F.col("positive"))), "v", "negative", "upto")
+    wins = F.sum(F.col("positive") * (F.col("upto") - 0.5 * F.col("negative")))
+    return below.agg(F.try_divide(wins, F.sum("positive") * F.sum("negative")).alias("auc_roc"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def label_topics(terms: dict[int, list[str]], keywords: dict[str, list[str]] = FAILURE_KEYWORDS_PT) -> dict[int, str]:
     """Failure mode of each topic: most keywords among its terms, the first of equals, `other` without any."""
     out = {}
@@ -132,16 +149,38 @@ def negative_topics(
     return summary, by.withColumn("dominant_failure_mode", dominant_mode({m: F.col(f"share_{m}") for m in MODE_ORDER}))
 
 
+def frequent_words(tokens: DataFrame, vocabulary: int) -> list[str]:
+    """The most frequent words of a column `tokens`, the first by name of equals; `vocabulary` less the two numbers that are no words."""
+    counts = tokens.select(F.explode("tokens").alias("w")).groupBy("w").count()
+    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(vocabulary - 2).collect()]
+
+
+def padded_numbers(tokens: str, words: list[str], length: int = MAX_LEN) -> Column:
+    """Numbers of the first `length` words from 2 on, 1 for unknown ones, 0 after the last; whole batches at a time, as Arrow looks words up in one hash table."""
+    known = pa.array(words, pa.string())
+
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            flat = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), UNK - 2).to_numpy(zero_copy_only=False) + 2
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out = np.full((len(sizes), length), PAD, np.int32)
+            out[row[at < length], at[at < length]] = flat[at < length]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * length), pa.array(out.ravel()))
+
+    made.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(made, "array<int>")(tokens)
+
+
 def encode_sequences(rows: DataFrame, text: str, stop: list[str], vocabulary: int = VOCAB, length: int = MAX_LEN) -> DataFrame:
-    """seq: word numbers of a text by frequency from 2 on, 1 for unknown words, padded by 0 and cut to `length`."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: (w != "") & ~F.array_contains(F.lit(stop), w))
+    """seq: word numbers of a text by frequency from 2 on, 1 for unknown words, padded by 0 and cut to `length`; a null text has none.
+
+    The driver holds the vocabulary, `vocabulary` words at most.
+    """
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: (w != "") & ~F.array_contains(F.lit(stop).cast("array<string>"), w))
     tokens = rows.withColumn("tokens", words)
-    counts = tokens.select(F.explode("tokens").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary - 2)
-    numbered = counts.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), "w"))), lambda x, i: F.struct(x["w"], i + 2))).alias("vocab"))
-    known = tokens.join(F.broadcast(numbered), F.lit(True))  # one row of at most `vocabulary` words
-    ids = F.transform(F.slice("tokens", 1, length), lambda w: F.coalesce(F.try_element_at("vocab", w), F.lit(UNK)))
-    padded = F.concat(ids, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), length - F.size(ids)))).cast("array<int>")
-    return known.withColumn("seq", padded).drop("vocab")
+    return tokens.withColumn("seq", padded_numbers("tokens", frequent_words(tokens, vocabulary), length))
 
 
 def fit_mlp(train: DataFrame, features: int, hidden: int = 16, iterations: int = 30, seed: int = 1394):
@@ -151,12 +190,10 @@ def fit_mlp(train: DataFrame, features: int, hidden: int = 16, iterations: int =
 
 def term_vectors(rows: DataFrame, seq: str, vocabulary: int = VOCAB) -> DataFrame:
     """features: the shares of a sequence's known words, as a sparse vector over their numbers."""
-    counted = F.transform(F.array_sort(F.array_distinct(F.filter(seq, lambda x: x > UNK))), lambda x: F.struct(x.alias("i"), F.size(F.filter(seq, lambda y: y == x)).alias("n")))
-    total = F.greatest(F.size(F.filter(seq, lambda x: x > UNK)), F.lit(1))
-    dense = rows.withColumn("\x00c", counted).withColumn("\x00n", total)
-    values = F.transform("\x00c", lambda c: c["n"] / F.col("\x00n"))
-    maker = F.udf(lambda at, x: SparseVector(vocabulary, at, x), VectorUDT())
-    return dense.withColumn("features", maker(F.transform("\x00c", lambda c: c["i"]), values)).drop("\x00c", "\x00n")
+    names = F.transform(F.filter(F.coalesce(F.col(seq), F.array().cast("array<int>")), lambda x: x > UNK), lambda x: x.cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(vocabulary)], inputCol="\x00w", outputCol="\x00c")
+    counted = counter.transform(rows.withColumn("\x00w", names))
+    return Normalizer(p=1.0, inputCol="\x00c", outputCol="features").transform(counted).drop("\x00w", "\x00c")
 
 
 def mlp_batch_scorer(model, vocabulary: int = VOCAB) -> Callable[[], Callable]:

@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Functions that pull rows to the driver or sort without a partition, and why what they take is small.
 BOUNDED = {
+    "boosting.thresholds": "one row of quantiles",
+    "boosting._met": "a row for each open node of a level",
+    "boosting.staged_search": "bins of SHARED_ROWS rows at most, and two numbers a model and task",
     "demand.week_span": "one row of two numbers",
     "demand.global_week_index": "a row for each week",
     "demand.add_regional_features": "a row for each state",
     "forecast.fit_and_score": "scalars",
+    "forecast.forest_nodes": "the nodes of one forest, bounded by its trees and depth",
+    "forecast.forest_errors": "a row a setting",
     "graph.connected_components": "one count",
     "profile.quantiles": "one row of quantiles",
     "profile.daily_counts_from_text": "the header line",
     "ranks.running_total": "a row for each range",
+    "recurrent.fit_recurrent": "one model and a loss an epoch",
     "risk.percentile_norm": "one maximum",
+    "text.frequent_words": "a vocabulary of bounded size",
     "text.negative_topics": "a row for each topic",
     "weekly.prepare_stream_source": "a demonstration's rows, limited",
 }
@@ -75,7 +82,7 @@ def _has(module, *names: str) -> list[str]:
 
 def run_all(spark: SparkSession) -> DataFrame:
     """(check, passed, detail): safety of the sources and presence of every capability."""
-    from quayside.operators import demand, forecast, graph, profile, risk, sentiment, text
+    from quayside.operators import demand, forecast, graph, motifs, profile, recurrent, risk, sentiment, text
     from quayside.plans import stepcache
     from quayside.sources import tables
     from quayside.streaming import weekly
@@ -89,8 +96,8 @@ def run_all(spark: SparkSession) -> DataFrame:
         "SQL joins": [] if "INNER JOIN" in sentiment.REVIEWS_WITH_SELLER_SQL else ["sentiment"],
         "pipelines": _has(forecast, "feature_pipeline") + _has(text, "nlp_pipeline"),
         "cross-validation": _has(forecast, "cv_estimators") + _has(text, "fit_nlp"),
-        "neural classifier": _has(text, "fit_mlp"),
-        "graph operators": _has(graph, "pagerank", "connected_components", "label_propagation", "bfs_backups", "shared_customer_motifs", "degree_stats"),
+        "neural classifier": _has(recurrent, "fit_recurrent") + _has(text, "fit_mlp"),
+        "graph operators": _has(graph, "pagerank", "connected_components", "label_propagation", "bfs_backups", "shared_customer_motifs", "degree_stats") + _has(motifs, "find", "bfs_paths"),
         "window features": _has(demand, "add_weekly_features"),
         "approximate statistics": _has(profile, "eda_stats", "shared_key_cardinality"),
         "outlier treatment": _has(profile, "winsorize"),
@@ -98,7 +105,7 @@ def run_all(spark: SparkSession) -> DataFrame:
         "two-hop substitutes": _has(graph, "two_hop_backups"),
         "category-region graph": _has(graph, "catregion_edges", "catregion_backups"),
         "negative topic model": _has(text, "negative_topics"),
-        "demand features": [c for c in demand.FEATURE_COLS if c not in demand.FEATURE_COLS[:12]],
+        "demand features": [c for c in demand.LAG_COLS if c not in demand.FEATURE_COLS] + ([] if len(set(demand.FEATURE_COLS)) == 12 else ["12 columns"]),
         "batch inference": _has(text, "batch_predict"),
         "grouped pandas function": _has(sentiment, "sentiment_slopes_pandas"),
         "streaming": _has(weekly, "run_weekly_volume_stream"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.columns import year_week
-from quayside.operators import demand, forecast, graph, profile, risk, sentiment, text
+from quayside.operators import boosting, demand, forecast, graph, profile, recurrent, risk, sentiment, text
 from quayside.plans.lineage import cut
 from quayside.plans.stepcache import StepCache
 from quayside.sources import tables as source
@@ -43,7 +43,7 @@ class Marketplace:
             return {k: cut(v) for k, v in made.items()} if isinstance(made, dict) else cut(made)
         paths = {o: f"{name}.{o}" for o in outputs} or {"": name}
         renamed = (lambda: {paths[k]: v for k, v in make().items()}) if outputs else make
-        read = self.cache.step(name, self.inputs, list(paths.values()), [demand, forecast, graph, risk, sentiment, text])(lambda: renamed())()
+        read = self.cache.step(name, self.inputs, list(paths.values()), [boosting, demand, forecast, graph, profile, recurrent, risk, sentiment, text])(lambda: renamed())()
         return {k: read[p] for k, p in paths.items()} if outputs else read
 
     # demand
@@ -97,8 +97,26 @@ class Marketplace:
     def text_classifier(self, **options) -> dict:
         return text.fit_nlp(sentiment.label_reviews(self.reviews), "review_comment_message", "review_id", light=self.light, **options)
 
+    def neural_scores(self, stop: list[str] | None = None, vocabulary: int = text.VOCAB) -> tuple[DataFrame, list[float]]:
+        """(review_id, label, score of the held-out reviews) by the recurrent network, and its loss of each epoch."""
+        labelled = sentiment.label_reviews(self.reviews).filter("review_comment_message IS NOT NULL")
+        losses: list[float] = []
+
+        def make() -> DataFrame:
+            coded = cut(text.encode_sequences(labelled, "review_comment_message", stop or text.stopwords("portuguese"), vocabulary).select("review_id", "label", "seq"))
+            train, test = text.hash_split(coded, "review_id")
+            weights, found = recurrent.fit_recurrent(train, vocabulary)
+            losses.extend(found)
+            return text.batch_predict(test, "seq", "score", recurrent.scorer(weights), text.MAX_LEN).select("review_id", "label", "score")
+
+        return self._step("neural_scores", make), losses
+
     # network
 
+    @cached_property
+    def geo_centroids(self) -> DataFrame:
+        return self._step("geo_centroids", lambda: profile.geolocation_centroids(self.tables["geolocation"]))
+
     @cached_property
     def network_lines(self) -> DataFrame:
         people = self.tables["customers"].select("customer_id", "customer_unique_id")

@@ -324,14 +324,18 @@ def test_registered_models_are_whole(spark, monkeypatch):
 
     data, seen = "/root/testdata/sf0.001", []
 
-    def grids(light=False, parallelism=2):
-        seen.append(light)
+    def search(train, features, keys, light=False, n_splits=3):
+        seen.append((light, n_splits))
         raise RuntimeError("seen")
 
-    monkeypatch.setattr(forecast, "cv_estimators", grids)
+    queries.forget()
+    monkeypatch.setattr(forecast, "search", search)
     monkeypatch.setattr(text, "negative_topics", lambda rows, of, entity, stop, **sizes: seen.append(sizes) or [rows.limit(0)] * 2)
-    for name in ("demand_forecast_scores", "regional_forecast"):
-        with pytest.raises(RuntimeError, match="seen"):
-            queries.QUERIES[name](spark, data)
-    queries.QUERIES["negative_topics"](spark, data)
-    assert seen == [False, False, {}]
+    try:
+        for name in ("demand_forecast_scores", "regional_forecast"):
+            with pytest.raises(RuntimeError, match="seen"):
+                queries.QUERIES[name](spark, data)
+        queries.QUERIES["negative_topics"](spark, data)
+    finally:
+        queries.forget()  # what the stubs made is no other test's
+    assert seen == [(False, 3), (False, 0), {}]
