@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.columns import decay_weights, rounded
-from quayside.operators import charts, demand, forecast, graph, motifs, profile, recurrent, risk, sentiment, text
+from quayside.operators import charts, demand, forecast, graph, motifs, profile, recurrent, risk, sentiment, sketches, text
 from quayside.plans.lineage import cut, shared_path
-from quayside.sources import tables
+from quayside.sources import multiline, tables
 from quayside.sources.tables import STAR, STAR_KEYS, roles, star
 from quayside.streaming import weekly
 
@@ -192,6 +192,58 @@ def eda_stats(spark, sf_dir):
     return profile.eda_stats(lines(spark, sf_dir), ["price", "delay_days"], ["seller_id", "product_id"])
 
 
+@query(f"WITH {LINES} SELECT seller_state, count(delay_days) AS n, true AS median_fits, true AS p95_fits FROM lines GROUP BY 1")
+def delay_quantile_states(spark, sf_dir):
+    """Delays by state from the merged sketches of its weeks, each quantile held against the exact ranks of its value."""
+    rows = lines(spark, sf_dir).select("seller_state", "year_week", "delay_days")
+    state = sketches.merged_quantiles(cut(sketches.quantile_state(rows, ["seller_state", "year_week"], "delay_days")), ["seller_state"])
+    found = cut(state.select("seller_state", F.kll_sketch_get_n_double("sketch").alias("n"), sketches.quantile("sketch", 0.5).alias("median"), sketches.quantile("sketch", 0.95).alias("p95")))
+    met = rows.join(F.broadcast(found), "seller_state")  # a row a state
+    error, fits = sketches.rank_error(), {}
+    for name, p in (("median", 0.5), ("p95", 0.95)):
+        below, upto = (F.avg(F.when(side, 1.0).otherwise(0.0)) for side in (F.col("delay_days") < F.col(name), F.col("delay_days") <= F.col(name)))
+        fits[name] = (below <= p + error) & (upto >= p - error)
+    return met.groupBy("seller_state", "n").agg(*[c.alias(f"{name}_fits") for name, c in fits.items()])
+
+
+KEY_PAIRS = [(k, a, b) for k in STAR_KEYS for a in sorted(STAR) for b in sorted(STAR) if a < b and k in STAR[a].alias and k in STAR[b].alias]
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{k}' AS shared_key, '{a}' AS a, '{b}' AS b, (SELECT count(*) FROM (SELECT {STAR[a].alias[k]} FROM {a} INTERSECT SELECT {STAR[b].alias[k]} FROM {b}) WHERE {STAR[a].alias[k]} IS NOT NULL) AS exact_overlap, true AS within_error"
+    for k, a, b in KEY_PAIRS
+))
+def shared_key_overlap(spark, sf_dir):
+    """Keys that two tables share: by stored sketches, and exactly."""
+    held = {n: star(spark, sf_dir, n) for n in STAR}
+    named = lambda n, k: held[n].select(F.lit(k).alias("shared_key"), F.lit(n).alias("name"), F.col(STAR[n].alias[k]).cast("string").alias("key"))
+    state = cut(profile._union([sketches.distinct_state(named(n, k), ["shared_key", "name"], "key") for n in held for k in STAR_KEYS if k in STAR[n].alias]))
+    exact = profile._union([
+        named(a, k).select("key").distinct().join(named(b, k).select("key").distinct(), "key").agg(F.count("*").alias("exact_overlap")).select(F.lit(k).alias("shared_key"), F.lit(a).alias("a"), F.lit(b).alias("b"), "exact_overlap")
+        for k, a, b in KEY_PAIRS
+    ])
+    near = F.abs(F.col("overlap") - F.col("exact_overlap")) <= F.col("error")
+    return sketches.overlaps(state, "shared_key", "name").join(exact, ["shared_key", "a", "b"]).select("shared_key", "a", "b", "exact_overlap", near.alias("within_error"))
+
+
+@query("""
+SELECT coalesce(lang, '') AS lang, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS BIGINT) AS n_feeds,
+       max(md5(coalesce(text, ''))) AS last_md5 FROM documents GROUP BY 1
+""")
+def multiline_csv_texts(spark, sf_dir):
+    """Documents written as CSV with line feeds inside quotes, and read again in splits."""
+    path = shared_path(spark, "documents-csv")
+    docs = star(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    keep = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "header": True}
+    docs.write.options(**keep).csv(path)
+    read = multiline.read_csv(spark, path, docs.schema, maxCharsPerColumn="-1")
+    text_of = F.coalesce("text", F.lit(""))
+    feeds = F.length(text_of) - F.length(F.replace(text_of, F.lit("\n"), F.lit("")))
+    return read.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(
+        F.count("doc_id").alias("n_docs"), F.sum(F.length(text_of)).cast("long").alias("n_chars"), F.sum(feeds).cast("long").alias("n_feeds"), F.max(F.md5(text_of)).alias("last_md5")
+    )
+
+
 # --- demand ----------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quayside.sources import multiline
+
 # --- fixed schemas: column names, types and keys of the source files ----------
 SCHEMAS = {
     "orders": "order_id string NOT NULL, customer_id string NOT NULL, order_status string, order_purchase_timestamp timestamp, "
@@ -64,10 +66,10 @@ def schema_of(key: str) -> StructType:
 
 
 def load(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """A CSV table with its declared schema, found by the ending of its file name; malformed cells become null.  Only reviews span lines, so only they cannot be split."""
-    reader = spark.read.schema(schema_of(key)).option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
+    """A CSV table with its declared schema, found by the ending of its file name; malformed cells become null.  Only reviews span lines; they are put together from splits."""
     if key == "order_reviews":
-        reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
+        return multiline.read_csv(spark, f"{folder}/{TABLES[key].file}", schema_of(key))
+    reader = spark.read.schema(schema_of(key)).option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
     return reader.csv(f"{folder}/{TABLES[key].file}")
 
 
