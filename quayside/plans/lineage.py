@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,14 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
+#: Called with each frame that is about to be cut.
+WATCHERS: list[Callable[[DataFrame], None]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` checkpointed: a lost executor costs no recomputation, and the plan does not grow."""
+    for watch in WATCHERS:
+        watch(df)
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
