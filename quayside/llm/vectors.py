@@ -36,9 +36,9 @@ EPSILON = 5.0
 #: Error of estimates in single precision, beyond their spread.
 ROUNDING = 1e-5
 #: Probability that a pair at the threshold shares a bucket.
-MEETS = 0.99
+MEETS = 0.999
 #: Distinct vectors of a bucket that the number of bits aims at, and those beyond which it is dealt in tiles.
-ROWS = 1024
+ROWS = 4096
 TILE = 2048
 #: Pairs that are recomputed at a time.
 PAIRS = 1 << 16
