@@ -784,40 +784,54 @@ def motif_triangles(spark, sf_dir):
     return met.groupBy(F.col("a.id").alias("seller_id")).agg(F.count("*").alias("n_triangles"), F.sum(F.expr("x.weight + y.weight + z.weight")).alias("weight"))
 
 
+CLOSE = f"""{EDGES}, least AS (SELECT quantile_disc(n_shared_customers, 0.95) AS least FROM motifs),
+close AS MATERIALIZED (
+  SELECT seller_a AS src, seller_b AS dst, n_shared_customers AS weight FROM motifs, least WHERE n_shared_customers >= least
+  UNION ALL SELECT seller_b, seller_a, n_shared_customers FROM motifs, least WHERE n_shared_customers >= least
+)"""
+
+
+def _close(spark, sf_dir):
+    """Edges of the sellers that share most customers, the upper twentieth of pairs and those that tie with it."""
+    pairs = cut(_motifs(spark, sf_dir))
+    (least,) = profile.quantiles(pairs, "n_shared_customers", [0.95], 0.0)
+    return cut(graph.cocustomer_edges(pairs, least or 0))
+
+
 @query(f"""
-WITH {CELLS} SELECT x.src AS seller_id, y.dst AS other_id, count(*) AS n_bridges, max(least(x.weight, y.weight)) AS widest FROM cat x JOIN cat y ON x.dst = y.src
-WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM cat z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2
+WITH {CLOSE} SELECT x.src AS seller_id, y.dst AS other_id, count(*) AS n_bridges, max(least(x.weight, y.weight)) AS widest FROM close x JOIN close y ON x.dst = y.src
+WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM close z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2
 """)
 def motif_open_wedges(spark, sf_dir):
-    """Sellers that only a third one links: a pattern with an absent edge."""
-    met = motifs.find(cut(_cat(spark, sf_dir)), "(a)-[x]->(b); (b)-[y]->(c); !(a)-[]->(c)").filter("a.id <> c.id")
+    """Sellers that only third ones link: a pattern with an absent edge."""
+    met = motifs.find(_close(spark, sf_dir), "(a)-[x]->(b); (b)-[y]->(c); !(a)-[]->(c)").filter("a.id <> c.id")
     bridges = met.groupBy(F.col("a.id").alias("seller_id"), F.col("c.id").alias("other_id"))
     return bridges.agg(F.count("*").alias("n_bridges"), F.max(F.least("x.weight", "y.weight")).alias("widest"))
 
 
-@query(f"WITH {CELLS}, {TWO_HOP.replace('shared', 'cat')} SELECT * FROM two_hop")
-def two_hop_catregion_backups(spark, sf_dir):
-    """Two-hop backups over sellers of like category and state, who are far from all linked."""
-    return graph.two_hop_backups(cut(_cat(spark, sf_dir)))
+@query(f"WITH {CLOSE}, {TWO_HOP.replace('shared', 'close')} SELECT * FROM two_hop")
+def two_hop_close_backups(spark, sf_dir):
+    """Two-hop backups over close partners, who are far from all linked with each other."""
+    return graph.two_hop_backups(_close(spark, sf_dir))
 
 
 MAX_HOPS = 8
 
 
 @query(f"""
-WITH RECURSIVE {CELLS}, walk(s, id, hop) AS (
-  SELECT DISTINCT src, src, 0 FROM cat UNION SELECT w.s, e.dst, w.hop + 1 FROM walk w JOIN cat e ON e.src = w.id WHERE w.hop < {MAX_HOPS}
+WITH RECURSIVE {CLOSE}, walk(s, id, hop) AS (
+  SELECT DISTINCT src, src, 0 FROM close UNION SELECT w.s, e.dst, w.hop + 1 FROM walk w JOIN close e ON e.src = w.id WHERE w.hop < {MAX_HOPS}
 ), distance AS MATERIALIZED (SELECT s, id, min(hop) AS hop FROM walk GROUP BY 1, 2),
 parent AS MATERIALIZED (
-  SELECT d.s, d.id, min(p.id) AS parent FROM distance d JOIN cat e ON e.dst = d.id JOIN distance p ON p.s = d.s AND p.id = e.src AND p.hop = d.hop - 1 WHERE d.hop > 0 GROUP BY 1, 2
+  SELECT d.s, d.id, min(p.id) AS parent FROM distance d JOIN close e ON e.dst = d.id JOIN distance p ON p.s = d.s AND p.id = e.src AND p.hop = d.hop - 1 WHERE d.hop > 0 GROUP BY 1, 2
 ), back(s, id, place, path) AS (
   SELECT s, id, id, id FROM distance WHERE hop > 0 UNION ALL SELECT b.s, b.id, p.parent, p.parent || '>' || b.path FROM back b JOIN parent p ON p.s = b.s AND p.id = b.place
 )
 SELECT b.s AS from_id, b.id AS to_id, CAST(d.hop AS INTEGER) AS hops, b.path FROM back b JOIN distance d ON d.s = b.s AND d.id = b.id WHERE b.place = b.s
 """)
 def substitution_paths(spark, sf_dir):
-    """A shortest chain of substitutes from every seller to every other one in reach."""
-    edge = cut(_cat(spark, sf_dir))
+    """A shortest chain of close partners from every seller to every other one in reach."""
+    edge = _close(spark, sf_dir)
     out = motifs.bfs_paths(edge, graph.endpoints(edge), F.lit(True), F.lit(True), MAX_HOPS, every_target=True)
     return out.withColumn("path", F.concat_ws(">", "path"))
 
@@ -1054,6 +1068,31 @@ def chart_schema(spark, sf_dir):
     return charts.schema_edges(spark, tables.TABLES)
 
 
+def _links() -> list[tuple[str, str, str, str]]:
+    """(table, column, referred table, its key) of the star schema's foreign keys, by the names that keys share."""
+    found = []
+    for n, t in STAR.items():
+        for column in t.fks:
+            for k in (k for k, c in t.alias.items() if c == column):
+                found += [(n, column, o, u.pk[0]) for o, u in STAR.items() if o != n and u.pk is not None and u.pk == (u.alias.get(k),)]
+    return found
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{n}' AS table_name, '{c}' AS column_name, '{o}' AS refers_to, count(*) AS n_rows, count(*) FILTER ({c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {o} WHERE {k} IS NOT NULL)) AS n_orphans FROM {n}"
+    for n, c, o, k in _links()
+))
+def chart_schema_links(spark, sf_dir):
+    """The schema's edges as the tables bear them out: rows, and rows whose key is in no referred row."""
+    parts = []
+    for n, c, o, k in _links():
+        keys = star(spark, sf_dir, o).select(F.col(k).alias("\x00k")).distinct()
+        met = star(spark, sf_dir, n).select(c).join(keys, F.col(c) == F.col("\x00k"), "left")
+        orphan = F.count(F.when(F.col(c).isNotNull() & F.col("\x00k").isNull(), 1))
+        parts.append(met.agg(F.count("*").alias("n_rows"), orphan.alias("n_orphans")).select(F.lit(n).alias("table_name"), F.lit(c).alias("column_name"), F.lit(o).alias("refers_to"), "n_rows", "n_orphans"))
+    return profile._union(parts)
+
+
 @query()
 def chart_elbow(spark, sf_dir):
     return charts.elbow_points(kmeans_elbow(spark, sf_dir))
