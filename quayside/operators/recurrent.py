@@ -3,10 +3,12 @@
 Word numbers go through an embedding, a long short-term memory and the mean of its
 states over a text's words to one logit.  Training is synchronous and parallel over
 rows: a barrier stage runs one task a worker, each holds its part of the rows and the
-whole model, adds up the gradients of its share of a batch and gathers those of all
-others; every worker then takes the same step, in the order of ranks, so all models
-stay equal and reruns agree.  Only the first worker gives its model to the driver.  A
-lost task restarts the stage from the same seed.
+whole model and sends the gradients of its share of a batch to the first worker, which
+sends back their sum in the order of ranks; every worker then takes the same step, so all
+models stay equal and reruns agree.  They go by a connection of each worker to the first,
+since a gathering of the barrier waits for a second; it only tells the address.  Only the
+first worker gives its model to the driver.  A lost task restarts the stage from the same
+seed.
 
 The rows that one fit takes are bounded by `most_rows`, as all workers hold their
 part in memory; which ones is drawn by a hash.  Scoring covers every row, in numpy
@@ -15,8 +17,10 @@ batches in the executors.
 
 from __future__ import annotations
 
-import base64
 import math
+import secrets
+import socket
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +36,8 @@ PAD = 0
 MOST_ROWS = 500_000
 #: Workers of a fit at most; a barrier stage needs as many free slots at once.
 WORKERS = 8
+#: Seconds that a worker waits for another; the slowest step takes far less.
+WAIT = 600.0
 
 Weights = dict[str, np.ndarray]
 
@@ -122,18 +128,17 @@ def loss_and_gradient(w: Weights, seq: np.ndarray, label: np.ndarray) -> tuple[f
 DENSE = ("input", "state", "bias", "out", "offset")
 
 
-def packed(n: int, loss: float, gradient: dict[str, np.ndarray]) -> str:
+def packed(n: int, loss: float, gradient: dict[str, np.ndarray]) -> bytes:
     """One worker's message: rows, loss, words, their rows and the dense gradients, in single precision."""
     words = gradient["words"]
     parts = [np.array([n, len(words)], np.int64), np.array([loss]), words, gradient["rows"].astype(np.float32), *[gradient[k].astype(np.float32) for k in DENSE]]
-    return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
+    return b"".join(p.tobytes() for p in parts)
 
 
-def summed(messages: list[str], w: Weights) -> tuple[int, float, dict[str, np.ndarray]]:
+def summed(messages: list[bytes], w: Weights) -> tuple[int, float, dict[str, np.ndarray]]:
     """Rows, loss and dense gradients over all workers, in the order of ranks."""
     rows, loss, total = 0, 0.0, {k: np.zeros_like(v) for k, v in w.items()}
-    for m in messages:
-        data = base64.b64decode(m)
+    for data in messages:
         n, words = np.frombuffer(data, np.int64, 2)
         rows, loss, at = rows + int(n), loss + float(np.frombuffer(data, np.float64, 1, 16)[0]), 24
         which = np.frombuffer(data, np.int32, words, at)
@@ -148,6 +153,71 @@ def summed(messages: list[str], w: Weights) -> tuple[int, float, dict[str, np.nd
     return rows, loss, total
 
 
+def _send(to: socket.socket, data: bytes) -> None:
+    to.sendall(struct.pack("<q", len(data)) + data)
+
+
+def _receive(source: socket.socket) -> bytes:
+    def read(n: int) -> bytearray:
+        data, at = bytearray(n), 0
+        while at < n:
+            got = source.recv_into(memoryview(data)[at:])
+            if not got:
+                raise ConnectionError("a worker has gone")
+            at += got
+        return data
+
+    return bytes(read(struct.unpack("<q", read(8))[0]))
+
+
+class Exchange:
+    """Sums over the workers of one barrier stage: the first takes a message of each other, adds them up in the order of ranks and sends all the sum."""
+
+    def __init__(self, context: BarrierTaskContext, rank: int, workers: int, wait: float = WAIT):
+        self.rank, self.others = rank, []
+        if workers == 1:
+            return
+        host = context.getTaskInfos()[0].address.rsplit(":", 1)[0].strip("[]")
+        taker = socket.create_server(("", 0)) if rank == 0 else None
+        told = context.allGather(f"{taker.getsockname()[1]} {secrets.token_hex(16)}" if taker else "")[0]
+        port, token = told.split()
+        if taker:
+            taker.settimeout(wait)
+            met: dict[int, socket.socket] = {}
+            with taker:
+                while len(met) < workers - 1:
+                    other, _ = taker.accept()
+                    other.settimeout(wait)
+                    word = other.recv(64, socket.MSG_WAITALL).decode(errors="replace")
+                    if word[:32] == token:  # who does not know the word is no worker
+                        met[int(word[32:])] = other
+                    else:
+                        other.close()
+            self.others = [met[r] for r in range(1, workers)]
+        else:
+            first = socket.create_connection((host, int(port)), wait)
+            first.sendall(f"{token}{rank:032d}".encode())
+            self.others = [first]
+        for other in self.others:
+            other.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+
+    def sum(self, message: bytes, w: Weights) -> tuple[int, float, dict[str, np.ndarray]]:
+        if self.rank:
+            _send(self.others[0], message)
+            return summed([_receive(self.others[0])], w)
+        rows, loss, total = summed([message, *map(_receive, self.others)], w)
+        if self.others:
+            words = np.flatnonzero(total["embedding"].any(axis=1)).astype(np.int32)
+            back = packed(rows, loss, {**{k: total[k] for k in DENSE}, "words": words, "rows": total["embedding"][words]})
+            for other in self.others:
+                _send(other, back)
+        return rows, loss, total
+
+    def close(self) -> None:
+        for other in self.others:
+            other.close()
+
+
 class Adam:
     def __init__(self, w: Weights, rate: float):
         self.rate, self.steps = rate, 0
@@ -172,17 +242,18 @@ def _worker(vocabulary: int, sizes: dict[str, int], epochs: int, batch: int, rat
         share = max(1, batch // workers)
         steps = max(-(-int(m) // share) for m in context.allGather(str(len(label))))
         w = initial(vocabulary, seed=seed, **sizes)
-        adam, rng = Adam(w, rate), np.random.default_rng((seed, rank))
+        adam, rng, exchange = Adam(w, rate), np.random.default_rng((seed, rank)), Exchange(context, rank, workers)
         for epoch in range(epochs):
             order, n, total = rng.permutation(len(label)), 0, 0.0
             for s in range(steps):
                 some = order[s * share : (s + 1) * share]
                 mine = loss_and_gradient(w, seq[some], label[some]) if len(some) else (0.0, {"words": np.zeros(0, np.int32), "rows": np.zeros(0, np.float32), **{k: np.zeros_like(w[k]) for k in DENSE}})
-                count, loss, gradient = summed(context.allGather(packed(len(some), *mine)), w)
+                count, loss, gradient = exchange.sum(packed(len(some), *mine), w)
                 adam.step(w, {k: g / max(count, 1) for k, g in gradient.items()})
                 n, total = n + count, total + loss
             if rank == 0:
                 yield epoch + 1, total / max(n, 1), {k: v.tobytes() for k, v in w.items()} if epoch + 1 == epochs else None
+        exchange.close()
 
     return train
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -156,6 +157,15 @@ def test_workers_learn_together(spark):
     assert not np.array_equal(few["out"], weights["out"])
 
 
+def test_steps_do_not_wait_for_the_barrier(spark):
+    """60 steps of 4 workers: a gathering of the barrier would take a second each."""
+    df = spark.createDataFrame([([2 + i % 7, 3, 0, 0], float(i % 2)) for i in range(400)], "seq array<int>, label double").cache()
+    df.count()
+    began = time.time()
+    _, losses = recurrent.fit_recurrent(df, 20, 4, 4, epochs=3, batch=20, workers=4)
+    assert len(losses) == 3 and time.time() - began < 30
+
+
 def test_fit_without_rows(spark):
     none = spark.createDataFrame([], "seq array<int>, label double")
     weights, losses = recurrent.fit_recurrent(none, 10, 4, 3, workers=2)
