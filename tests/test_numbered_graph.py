@@ -1,10 +1,13 @@
 """Graph operators over numbered ids, and what their queries read."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quayside import queries
 from quayside.operators import graph, motifs
+from quayside.plans import lineage
 
 DATA = "/root/testdata/sf0.001"
 
@@ -62,3 +65,29 @@ def test_lines_of_repeated_keys_stay_repeated(spark, tmp_path):
         df = spark.read.parquet(f"{DATA}/{name}.parquet")
         (df.union(df.filter("p_partkey = 1")) if name == "part" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert queries.lines(spark, str(tmp_path), "sellers", "products").count() == queries.lines(spark, str(tmp_path)).count()
+
+
+def test_votes_where_lists_lie(spark, monkeypatch):
+    """Few vertices hear by lists, many by a shuffle: communities and ranks are equal, on graphs with repeated, one-way and looped edges too; lists are not shuffled a round."""
+    rng = random.Random(11)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(150)]
+    apart = sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    for rows, symmetric in ((apart, True), (pairs + pairs[:30], False)):
+        edge = spark.createDataFrame(rows, "src int, dst int").cache()
+        found = []
+        for names in (500_000, 0):
+            monkeypatch.setattr(graph, "NAMES", names)
+            linked = graph.adjacency(edge, names > 0) if symmetric else None
+            found.append([
+                sorted(map(tuple, graph.label_propagation(edge, 4).collect())),
+                sorted((r.id, round(r.pagerank, 9)) for r in graph.pagerank(edge, rounds=3).collect()),
+                sorted(map(tuple, graph.connected_components(edge).collect())),
+                sorted(map(tuple, graph.label_propagation(edge, 4, linked).collect())),
+            ])
+        assert found[0] == found[1] and found[0][0] == found[0][3]
+    monkeypatch.setattr(graph, "NAMES", 500_000)
+    edge = spark.createDataFrame(apart, "src int, dst int")
+    seen = []
+    monkeypatch.setattr(lineage, "WATCHERS", [lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString())])
+    graph.pagerank(edge, rounds=5).collect()
+    assert "rightHint=(strategy=broadcast)" in seen[-1]
