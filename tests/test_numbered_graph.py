@@ -91,3 +91,27 @@ def test_votes_where_lists_lie(spark, monkeypatch):
     monkeypatch.setattr(lineage, "WATCHERS", [lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString())])
     graph.pagerank(edge, rounds=5).collect()
     assert "rightHint=(strategy=broadcast)" in seen[-1]
+
+
+def test_two_hop_partners_come_by_lists(spark):
+    """Numbers, texts and brute force agree; pairs of two hops are no rows of a join with the edges, nor are pairs counted after a second shuffle."""
+    rng = random.Random(6)
+    pairs = {(a, b): rng.randrange(2, 5) for a in range(30) for b in range(a) if rng.random() < 0.15}
+    both = [(a, b, n) for (x, y), n in pairs.items() for a, b in ((x, y), (y, x))]
+    edge = spark.createDataFrame(both, "src int, dst int, weight long")
+    top = {a: sorted((-n, b) for x, b, n in both if x == a)[:3] for a in range(30)}
+    want = []
+    for a in range(30):
+        direct = {b for x, b, _ in both if x == a} | {a}
+        far = [(w, c) for _, b in top[a] for w, c in top[b] if c not in direct]
+        if far:
+            want.append((a, len({c for _, c in far}), min(far)[1]))
+    out = graph.two_hop_backups(edge, 3)
+    assert rows(out) == want != []
+    name = lambda c: F.concat(F.lit("s"), F.lpad(F.col(c).cast("string"), 2, "0")).alias(c)
+    assert rows(graph.two_hop_backups(edge.select(name("src"), name("dst"), "weight"), 3)) == [(f"s{a:02d}", n, f"s{c:02d}") for a, n, c in want]
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()
+    served = spark.createDataFrame([(i % 9, 100 + i % 7, "serves") for i in range(60)], "src int, dst int, edge_type string")
+    plan = graph.shared_customer_motifs(served)._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("Generate explode(tail")]
+    assert "Exchange" not in last
