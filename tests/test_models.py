@@ -188,3 +188,24 @@ def test_exact_quantiles_by_ranges(spark):
     at = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
     assert profile.quantiles(df, "v", at, 0.0) == [sorted(values)[max(0, math.ceil(p * len(values)) - 1)] for p in at]
     assert profile.quantiles(df.limit(0), "v", [0.5], 0.0) == [None]
+
+
+def test_histograms_meet_once_and_leaves_are_those_of_a_walk():
+    """However many rows there are below MOST a task, each model's histograms meet in one round; rows stop at leaves, also those of the last bin."""
+    assert boosting.TASKS <= boosting.MEET
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (300, 4)).astype(np.uint8)
+    x[:20] = 255
+    tree = boosting.Tree.empty(4)
+    for node in (0, 1, 2, 4, 5, 9, 11):
+        tree.feature[node], tree.bin[node] = rng.integers(0, 4), rng.integers(0, 255)
+
+    def walk(row, levels):
+        node = 0
+        for _ in range(levels):
+            if tree.feature[node] >= 0:
+                node = 2 * node + 1 + int(row[tree.feature[node]] > tree.bin[node])
+        return node
+
+    for levels in range(5):
+        assert tree.leaves(x, levels).tolist() == [walk(row, levels) for row in x]
