@@ -10,9 +10,9 @@ since a gathering of the barrier waits for a second; it only tells the address.
 first worker gives its model to the driver.  A lost task restarts the stage from the same
 seed.
 
-The rows that one fit takes are bounded by `most_rows`, as all workers hold their
-part in memory; which ones is drawn by a hash.  Scoring covers every row, in numpy
-batches in the executors.
+A fit takes all rows: each worker lays its part into a file of its own, from which a
+batch is read where it lies, so memory holds a label and a place a row.  Scoring covers
+every row too, in numpy batches in the executors.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import math
 import secrets
 import socket
 import struct
+import tempfile
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 from pyspark import BarrierTaskContext
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 EMBEDDING, HIDDEN = 64, 64
 EPOCHS, BATCH, RATE, SEED = 3, 128, 1e-3, 1394
 PAD = 0
-#: Rows that a fit draws at most, about 512 bytes each over all workers.
-MOST_ROWS = 500_000
+#: Rows that a worker lays into its file at a time.
+LAID = 4096
 #: Workers of a fit at most; a barrier stage needs as many free slots at once.
 WORKERS = 8
 #: Seconds that a worker waits for another; the slowest step takes far less.
@@ -232,13 +234,29 @@ class Adam:
             w[k] -= scale * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
 
 
+def _laid(rows: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, labels) of a worker's rows, the numbers mapped from a file that goes when they do."""
+    labels, width = [np.zeros(0, np.float32)], 0
+    with tempfile.TemporaryFile() as file:
+        for some in batched(rows, LAID):
+            seq = np.array([r["seq"] for r in some], np.int32)
+            if len(labels) > 1 and seq.shape[1:] != (width,):
+                raise ValueError("rows are not padded to one width")
+            width = seq.shape[1]
+            file.write(seq.tobytes())
+            labels.append(np.array([r["label"] for r in some], np.float32))
+        file.flush()
+        label = np.concatenate(labels)
+        if not len(label) or not width:
+            return np.zeros((len(label), width), np.int32), label
+        return np.memmap(file, np.int32, "r", shape=(len(label), width)), label
+
+
 def _worker(vocabulary: int, sizes: dict[str, int], epochs: int, batch: int, rate: float, seed: int, workers: int):
     def train(rows: Iterator) -> Iterator[tuple[int, float, dict[str, bytes] | None]]:
         context = BarrierTaskContext.get()
         rank = context.partitionId()
-        pairs = [(r["seq"], r["label"]) for r in rows]
-        seq = np.array([p[0] for p in pairs], np.int32).reshape(len(pairs), -1)
-        label = np.array([p[1] for p in pairs], np.float32)
+        seq, label = _laid(rows)
         share = max(1, batch // workers)
         steps = max(-(-int(m) // share) for m in context.allGather(str(len(label))))
         w = initial(vocabulary, seed=seed, **sizes)
@@ -260,11 +278,12 @@ def _worker(vocabulary: int, sizes: dict[str, int], epochs: int, batch: int, rat
 
 def fit_recurrent(
     rows: DataFrame, vocabulary: int, embedding: int = EMBEDDING, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED,
-    workers: int | None = None, most_rows: int = MOST_ROWS,
+    workers: int | None = None, most_rows: int | None = None,
 ) -> tuple[Weights, list[float]]:
     """(weights, mean loss of each epoch) over `rows`, which has seq, padded word numbers under `vocabulary`, and label, 0 or 1.
 
     Rows with a null in either are left out; without rows the weights are the first ones and losses 0.
+    Only a caller who gives `most_rows` has about so many drawn, by a hash.
     """
     sc = rows.sparkSession.sparkContext
     known = rows.select("seq", F.col("label").cast("double").alias("label")).filter("seq IS NOT NULL AND label IS NOT NULL")
@@ -272,7 +291,7 @@ def fit_recurrent(
     rows_known = known.count()
     if not rows_known:
         return like, [0.0] * epochs
-    share = min(1.0, most_rows / rows_known)
+    share = 1.0 if most_rows is None else min(1.0, most_rows / rows_known)
     drawn = known if share == 1.0 else known.filter(F.pmod(F.xxhash64(F.lit(seed), "seq", "label"), F.lit(1_000_000)) < int(share * 1_000_000))
     n = workers or max(1, min(WORKERS, sc.defaultParallelism))
     dealt = drawn.withColumn("at", F.xxhash64(F.lit(seed), "seq")).repartition(n, "at").sortWithinPartitions("at").select("seq", "label")

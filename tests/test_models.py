@@ -172,6 +172,24 @@ def test_fit_without_rows(spark):
     assert losses == [0.0] * recurrent.EPOCHS and np.array_equal(weights["out"], recurrent.initial(10, 4, 3)["out"])
 
 
+def test_a_fit_takes_all_rows(spark):
+    """Of 520,000 rows none is left out: at a rate of 0 the loss is the mean over all of them.  One worker needs no connection."""
+    n, word = 520_000, lambda i: 2 + i % 17
+    df = spark.range(n).select(F.array((F.lit(2) + F.col("id") % 17).cast("int"), (F.lit(2) + F.col("id") % 13).cast("int")).alias("seq"), ((F.col("id") % 11) < 3).cast("double").alias("label"))
+    w, (loss,) = recurrent.fit_recurrent(df, 20, 2, 2, epochs=1, batch=50_000, rate=0.0, workers=1)
+    i = np.arange(n)
+    z = recurrent.logits(recurrent.initial(20, 2, 2), np.stack([word(i), 2 + i % 13], axis=1)).astype(float)
+    assert loss == pytest.approx(float((np.logaddexp(0, z) - (i % 11 < 3) * z).mean()), rel=1e-6)
+    assert np.array_equal(w["out"], recurrent.initial(20, 2, 2)["out"])
+
+
+def test_rows_lie_in_a_file():
+    rows = [{"seq": [i, i + 1, 0], "label": float(i % 2)} for i in range(10_000)]
+    seq, label = recurrent._laid(iter(rows))
+    assert isinstance(seq, np.memmap) and seq[9_999].tolist() == [9_999, 10_000, 0] and label.sum() == 5_000 and seq.shape == (10_000, 3)
+    assert [x.shape for x in recurrent._laid(iter([]))] == [(0, 0), (0,)]
+
+
 def test_area_counts_ties_half(spark):
     pairs = [(1.0, 0.9), (0.0, 0.9), (1.0, 0.4), (0.0, 0.1), (0.0, 0.4)]
     wins = sum((p > q) + 0.5 * (p == q) for y, p in pairs if y for z, q in pairs if not z)
