@@ -54,6 +54,22 @@ def test_staged_search_by_blocks_and_cuts(spark, rows, monkeypatch):
     assert [r["rmse"] for r in run()] == pytest.approx([r["rmse"] for r in whole], rel=1e-9)
 
 
+def test_a_search_over_many_rows_has_few_jobs(spark):
+    """600,000 rows meet their models once, read in parts; by blocks each level of 8 trees has jobs of its own, and the errors are the same."""
+    df = spark.range(600_000).select((F.col("id") % 97).alias("a"), (F.col("id") * 31 % 1009).alias("b"), (F.col("id") % 5).alias("k")).withColumn("label", F.sin("a") + F.col("b") / 500.0)
+    fit, held = F.when(F.col("k") == 0, 0).otherwise(3), F.when(F.col("k") == 0, 3).otherwise(0)
+    sc, found = spark.sparkContext, {}
+    for shared in (boosting.SHARED_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(boosting, "SHARED_ROWS", shared)
+            sc.setJobGroup(f"search{shared}", "")
+            found[shared] = boosting.staged_search(df, ["a", "b"], "label", fit, held, 2, [2], [0.1], [4, 8])
+    sc.setJobGroup("", "")
+    assert [r["rmse"] for r in found[0]] == pytest.approx([r["rmse"] for r in found[boosting.SHARED_ROWS]], rel=1e-9)
+    jobs = {shared: len(sc.statusTracker().getJobIdsForGroup(f"search{shared}")) for shared in found}
+    assert jobs[boosting.SHARED_ROWS] <= 10 < jobs[0]
+
+
 def test_staged_search_of_little(spark, rows):
     one, none = F.lit(1), F.lit(0)
     assert boosting.staged_search(rows.limit(0), ["a"], "label", one, one, 1, [2], [0.1], [2]) == []
